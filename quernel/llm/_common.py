@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 #: Bytes of text that a Python worker holds at once besides its Arrow batch.
 CHUNK_BYTES = 8 << 20
@@ -33,11 +34,11 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def arrow_map(df: DataFrame, fn: Callable[[pa.Table], Iterator[pa.Table]], schema: str, weight: str | None = None) -> DataFrame:
-    """mapInArrow in chunks of at most CHUNK_BYTES of the string column `weight`; fn yields tables of `schema`."""
+def arrow_map(df: DataFrame, fn: Callable[[pa.Table], Iterator[pa.Table]], schema: str | StructType) -> DataFrame:
+    """mapInArrow in chunks of about CHUNK_BYTES; fn yields tables of `schema`."""
     from pyspark.sql.pandas.types import to_arrow_schema
 
-    types = to_arrow_schema(df.sparkSession.createDataFrame([], schema).schema)
+    types = to_arrow_schema(schema if isinstance(schema, StructType) else df.sparkSession.createDataFrame([], schema).schema)
 
     def run(batches):
         for batch in batches:
