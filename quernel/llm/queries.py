@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, quality, secrets
+from . import decontam, jaccard, mixing, quality, secrets
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -31,8 +31,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_leaks(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.cluster(_read(spark, sf_dir, "documents"), percent=80, ngram=5)
+
+
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_decontamination": op4_decontamination}
+    return {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_decontamination": op4_decontamination, "op5_jaccard": op5_jaccard}
 
 
 def oracle_sql() -> dict[str, str]:
