@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, mixing, quality, secrets
+from . import decontam, jaccard, mixing, quality, secrets, suffix
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -35,8 +35,12 @@ def op5_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.cluster(_read(spark, sf_dir, "documents"), percent=80, ngram=5)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.remove_repeats(_read(spark, sf_dir, "documents"), length=400).drop("kept")
+
+
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_decontamination": op4_decontamination, "op5_jaccard": op5_jaccard}
+    return {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_decontamination": op4_decontamination, "op5_jaccard": op5_jaccard, "op6_suffix_dedup": op6_suffix_dedup}
 
 
 def oracle_sql() -> dict[str, str]:
