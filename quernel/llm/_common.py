@@ -6,6 +6,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -77,3 +78,28 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+
+
+def groups(batches, keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of equal keys from Arrow batches that are sorted by them; a group may span batches."""
+    parts: list[pa.Table] = []
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        if not t.num_rows:
+            continue
+        change = np.zeros(t.num_rows, bool)
+        for k in keys:
+            v = t.column(k).to_numpy()
+            change[1:] |= v[1:] != v[:-1]
+            if parts:
+                change[0] |= bool(v[0] != parts[-1].column(k)[-1].as_py())
+        at = [0, *np.flatnonzero(change).tolist(), t.num_rows]
+        for a, b in zip(at, at[1:], strict=False):
+            if a == b:
+                continue
+            if change[a] and parts:
+                yield pa.concat_tables(parts).combine_chunks()
+                parts = []
+            parts.append(t.slice(a, b - a))
+    if parts:
+        yield pa.concat_tables(parts).combine_chunks()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, mixing, quality, secrets, suffix, warc
+from . import decontam, jaccard, mixing, pivots, quality, secrets, suffix, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,13 +39,17 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_read(spark, sf_dir, "documents"), length=400).drop("kept")
 
 
+def op9_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(_read(spark, sf_dir, "embeddings"), least=0.9)
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = warc.round_trip(_read(spark, sf_dir, "pages"), least_bytes=0)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_decontamination": op4_decontamination, "op5_jaccard": op5_jaccard, "op6_suffix_dedup": op6_suffix_dedup, "op10_warc": op10_warc}
+    return {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_decontamination": op4_decontamination, "op5_jaccard": op5_jaccard, "op6_suffix_dedup": op6_suffix_dedup, "op9_pivots": op9_pivots, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
