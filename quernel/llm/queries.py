@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, jaccard, mixing, pivots, quality, secrets, suffix, warc
+from . import decontam, jaccard, mixing, pii, pivots, quality, secrets, suffix, urlgraph, warc
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -39,6 +39,19 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(_read(spark, sf_dir, "documents"), length=400).drop("kept")
 
 
+RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op7_urlgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlgraph.judge(_read(spark, sf_dir, "pages"), urlgraph.rules_table(spark, RULES))
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(_read(spark, sf_dir, "documents"))
+    count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("doc_id", *map(count, pii.KINDS), F.sha2(pii.joined("base"), 256).alias("base_sha256"), pii.joined("spans").alias("spans"))
+
+
 def op9_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivots.near_duplicates(_read(spark, sf_dir, "embeddings"), least=0.9)
 
@@ -49,7 +62,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_decontamination": op4_decontamination, "op5_jaccard": op5_jaccard, "op6_suffix_dedup": op6_suffix_dedup, "op9_pivots": op9_pivots, "op10_warc": op10_warc}
+    return {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_decontamination": op4_decontamination, "op5_jaccard": op5_jaccard, "op6_suffix_dedup": op6_suffix_dedup, "op7_urlgraph": op7_urlgraph, "op8_pii": op8_pii, "op9_pivots": op9_pivots, "op10_warc": op10_warc}
 
 
 def oracle_sql() -> dict[str, str]:
