@@ -139,8 +139,7 @@ def mix(docs: DataFrame, weights=(1, 2, 3), max_repeat: int = 3, seed: int = 7,
     return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 
 
-def repeat_rows(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
-    """docs with each row as often as mixed says; doc_id must be unique in docs."""
-    n = mixed.where("copies > 0").select(F.col("doc_id").alias("_q_id"), F.col("copies").alias("_q_n"))
-    out = docs.join(n, F.col(doc_id) == F.col("_q_id")).select(*[docs[c] for c in docs.columns], "_q_n")
-    return out.select("*", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_q_n"))).alias("_q_copy")).drop("_q_n", "_q_copy")
+def with_copies(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+    """The rows of docs that mixed takes, with their number of copies. An id names one document; each row that repeats it carries the copies of all its rows."""
+    n = mixed.where("copies > 0").groupBy(F.col("doc_id").alias("_q_id")).agg(F.sum("copies").alias("copies"))
+    return docs.join(n, F.col(doc_id).eqNullSafe(F.col("_q_id"))).drop("_q_id")

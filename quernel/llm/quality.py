@@ -153,6 +153,17 @@ class QualityModel:
         return arrow_map(docs.select(F.col(doc_id).cast("long"), held_out(doc_id).alias("held_out"), F.col(text)), go, "doc_id long, held_out boolean, score double, predicted int")
 
 
+    def keep(self, docs: DataFrame, text: str = "text", threshold: float = 0.3) -> DataFrame:
+        """The rows of docs whose score is threshold or more, as they are; no shuffle."""
+        net, constant, where = self.net, self.no_labels_score, docs.columns.index(text)
+
+        def go(t: pa.Table):
+            x = np.array([text_features(s) for s in t.column(where).to_pylist()], np.float64).reshape(-1, FEATURES)
+            yield t.filter(pa.array(net.score(x) >= threshold if net is not None else np.full(len(x), constant >= threshold)))
+
+        return arrow_map(docs, go, docs.schema)
+
+
 def held_out(doc_id: str):
     return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
 
