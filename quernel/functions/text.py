@@ -227,7 +227,7 @@ def eval_normalize(x) -> Column:
 def value_in(text_n, expected) -> Column:
     """Does normalised text hold an expected value; numbers need borders, words are substrings."""
     e = trim(F.coalesce(_col(expected), F.lit("")))
-    quoted = F.regexp_replace(e, r"([.])", r"\\\\$1")
+    quoted = F.regexp_replace(e, r"([.])", r"\\$1")
     pattern = F.concat(F.lit(r"(?<![0-9.,])"), quoted, F.lit(r"(?![0-9])"))
     return F.when(e == "", False).when(e.rlike("^[0-9.,:%/-]+$"), F.regexp_like(_col(text_n), pattern)).otherwise(F.contains(_col(text_n), eval_normalize(e)))
 
