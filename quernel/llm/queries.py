@@ -65,5 +65,17 @@ def queries() -> dict:
     return {"op1_quality": op1_quality, "op2_mixing": op2_mixing, "op3_secrets": op3_secrets, "op4_decontamination": op4_decontamination, "op5_jaccard": op5_jaccard, "op6_suffix_dedup": op6_suffix_dedup, "op7_urlgraph": op7_urlgraph, "op8_pii": op8_pii, "op9_pivots": op9_pivots, "op10_warc": op10_warc}
 
 
+#: Sets, links and their closure in plain SQL; small tables only.
+_JACCARD = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] ELSE list_distinct(list_transform(range(1, greatest(len(w) - 3, 2)), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+x AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b FROM x a JOIN x b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL HAVING 100 * count(*) >= 80 * (any_value(a.n) + any_value(b.n) - count(*))),
+r AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON r.b = p.a),
+c AS (SELECT a, min(b) AS b FROM r GROUP BY a)
+SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id)) AS component_id FROM s LEFT JOIN c ON doc_id = a
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_jaccard": _JACCARD}
