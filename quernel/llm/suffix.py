@@ -26,12 +26,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, materialise
+from ._common import arrow_map, bit_field, groups, held, joint, materialise
 from .jaccard import _BYTE, _mix, _powers
 
 _LONG = pa.int64()
@@ -84,51 +83,6 @@ def _long(x) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64) if len(x) else [], _LONG)
 
 
-def _joint(*columns: np.ndarray) -> np.ndarray:
-    """One 64-bit value for the longs of each row."""
-    out = np.zeros(len(columns[0]), np.uint64)
-    for c in columns:
-        out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + c.view(np.uint64))
-    return out
-
-
-def _bits(values: DataFrame, columns: list[str], bits: int) -> np.ndarray:
-    """A field of 2^bits bits with two set for each row of longs, OR-ed over tasks piece by piece; at most 2^bits / 8 bytes reach the driver."""
-    piece = 1 << 16
-
-    def partial(batches):
-        field = np.zeros(1 << bits >> 3, np.uint8)
-        seen = False
-        for b in batches:
-            for at in _places(_joint(*(c.to_numpy(zero_copy_only=False) for c in b.columns)), bits):
-                np.bitwise_or.at(field, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
-            seen = seen or b.num_rows > 0
-        rows = [(i, field[i * piece : (i + 1) * piece]) for i in range(-(-len(field) // piece))] if seen else []
-        rows = [(i, x.tobytes()) for i, x in rows if x.any()]
-        yield pa.record_batch({"i": pa.array([r[0] for r in rows], pa.int32()), "x": pa.array([r[1] for r in rows], pa.binary())})
-
-    def united(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.bitwise_or.reduce([np.frombuffer(v, np.uint8) for v in pdf["x"]])
-        return pd.DataFrame({"i": pdf["i"][:1], "x": [x.tobytes()]})
-
-    out = np.zeros(1 << bits >> 3, np.uint8)
-    for r in values.select(*columns).mapInArrow(partial, "i int, x binary").groupBy("i").applyInPandas(united, "i int, x binary").collect():
-        out[r["i"] * piece : r["i"] * piece + len(r["x"])] = np.frombuffer(r["x"], np.uint8)
-    return out
-
-
-def _places(v: np.ndarray, bits: int):
-    for salt in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
-        yield _mix(v * np.uint64(salt)) >> np.uint64(64 - bits)
-
-
-def _held(field: np.ndarray, v: np.ndarray, bits: int) -> np.ndarray:
-    ok = np.ones(len(v), bool)
-    for at in _places(v, bits):
-        ok &= (field[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
-    return ok
-
-
 def _shifts(text: bytes, length: int) -> np.ndarray:
     """The hash of each window of `length` bytes of a place's surroundings."""
     t = _Hashed(np.frombuffer(text, np.uint8))
@@ -152,7 +106,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, field_bits: int = 26, gro
 
     # 1. names held more than once
     twice = materialise(arrow_map(texts, names, "name long").groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name"), "names")
-    field = sc.broadcast(_bits(twice, ["name"], field_bits))
+    field = sc.broadcast(bit_field(twice, ["name"], field_bits))
 
     def refined(t: pa.Table):
         cols = [[np.zeros(0, np.uint64)] for _ in range(5)]
@@ -160,7 +114,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, field_bits: int = 26, gro
             h = _Hashed(_bytes(s))
             at = anchors(h, length)
             name = h.range(at, at + half)
-            ok = _held(field.value, _joint(name), field_bits)
+            ok = held(field.value, joint(name), field_bits)
             at, name = at[ok], name[ok]
             lo, hi = _surroundings(at, len(h.b), length)
             wide = _mix(h.range(lo, hi) + (hi - lo).astype(np.uint64) * np.uint64(1 << 20) + (at - lo).astype(np.uint64))
@@ -177,7 +131,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, field_bits: int = 26, gro
     # 3. places of a repeated name with surroundings of their own, and one place for each kind of surroundings
     names_of = kinds.groupBy("name").agg(F.count("*").alias("kinds"), F.min("c").alias("least")).where("kinds > 1 and least = 1").select("name", "kinds")
     places = materialise(kinds.join(names_of, "name").select("name", "kinds", "key", "n", "at", (F.col("c") == 1).alias("open")), "places")
-    wanted = sc.broadcast(_bits(places, ["key", "n", "at"], field_bits))
+    wanted = sc.broadcast(bit_field(places, ["key", "n", "at"], field_bits))
     found = arrow_map(texts, _cutter(wanted, length, field_bits), "key long, n long, at long, around binary")
     # a text that occurs again gives its places again
     found = found.dropDuplicates(["key", "n", "at"])
@@ -193,7 +147,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, field_bits: int = 26, gro
         return _first_last(row, col, np.concatenate(hs) if hs else np.zeros(0, np.uint64), len(hs))
 
     def whole(batches):
-        for rows in _groups(batches, ["name"]):
+        for rows in groups(batches, ["name"]):
             p = shifted(rows)
             ok = (p[:, 0] >= 0) & rows.column("open").to_numpy(zero_copy_only=False)
             at = rows.column("at").to_numpy()[ok]
@@ -221,7 +175,7 @@ def repeated_spans(docs: DataFrame, length: int = 400, field_bits: int = 26, gro
         yield pa.table([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds_of)], ["name", "blk", "part", "key", "n", "at", "cols", "hs"])
 
     def merged(batches):
-        for rows in _groups(batches, ["name", "blk", "part"]):
+        for rows in groups(batches, ["name", "blk", "part"]):
             cols, hs = rows.column("cols").to_pylist(), rows.column("hs").to_pylist()
             row = np.repeat(np.arange(len(cols)), [len(c) for c in cols])
             p = _first_last(row, np.concatenate(cols), np.concatenate([np.array(h, np.int64) for h in hs]).view(np.uint64), len(cols))
@@ -243,9 +197,9 @@ def _cutter(wanted, length: int, field_bits: int):
         for key, s in zip(t.column(0).to_pylist(), t.column(1).to_pylist(), strict=True):
             b = _bytes(s)
             at = anchors(_Hashed(b), length)
-            ids = _joint(np.full(len(at), key, np.int64), np.full(len(at), len(b), np.int64), at.astype(np.int64))
+            ids = joint(np.full(len(at), key, np.int64), np.full(len(at), len(b), np.int64), at.astype(np.int64))
             lo, hi = _surroundings(at, len(b), length)
-            for k in np.flatnonzero(_held(wanted.value, ids, field_bits)):
+            for k in np.flatnonzero(held(wanted.value, ids, field_bits)):
                 rows.append((key, len(b), int(at[k]), b[lo[k] : hi[k]].tobytes()))
         yield pa.table([pa.array([r[i] for r in rows], _LONG if i < 3 else pa.binary()) for i in range(4)], ["key", "n", "at", "around"])
 
@@ -271,30 +225,6 @@ def _first_last(row: np.ndarray, col: np.ndarray, h: np.ndarray, rows: int) -> n
     return out
 
 
-def _groups(batches, keys: list[str]):
-    """Tables of equal keys from batches sorted by them; a group may span batches."""
-    parts: list[pa.Table] = []
-    for batch in batches:
-        t = pa.Table.from_batches([batch])
-        if not t.num_rows:
-            continue
-        change = np.zeros(t.num_rows, bool)
-        for k in keys:
-            v = t.column(k).to_numpy()
-            change[1:] |= v[1:] != v[:-1]
-            if parts:
-                change[0] |= bool(v[0] != parts[-1].column(k)[-1].as_py())
-        at = [0, *np.flatnonzero(change).tolist(), t.num_rows]
-        for a, b in zip(at, at[1:], strict=False):
-            if change[a] and parts and a < b:
-                yield pa.concat_tables(parts).combine_chunks()
-                parts = []
-            if a < b:
-                parts.append(t.slice(a, b - a))
-    if parts:
-        yield pa.concat_tables(parts).combine_chunks()
-
-
 def _key(text: str):
     """A 64-bit key of a text; with its number of bytes it stands for the text."""
     return F.xxhash64(F.col(text), F.octet_length(text))

@@ -17,6 +17,7 @@ def sf_dir(spark, tmp_path_factory):
         text = prose(rng.randint(30, 80)) if good else " ".join(word() + "###" for _ in range(40))
         docs.append([i, text, "en", f"s{i % 3}", len(text)])
         labels.append((i, int(good), 0))
+    docs[11][1] = prose(70)
     near = docs[11][1].split()
     near[3] = "changed"
     docs += [[300, docs[11][1], "en", "s0", 0], [301, " ".join(near), "en", "s1", 0], [302, f"{prose(20)} {bench[1][1]} {prose(20)}", "en", "s1", 0], [303, prose(40) + ' password=b7db7aa4a5fcc78305 ' + prose(9), "en", "s2", 0]]
