@@ -103,3 +103,61 @@ def groups(batches, keys: list[str]) -> Iterator[pa.Table]:
             parts.append(t.slice(a, b - a))
     if parts:
         yield pa.concat_tables(parts).combine_chunks()
+
+
+def mix64(z: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit numbers (splitmix64)."""
+    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def joint(*columns: np.ndarray) -> np.ndarray:
+    """One 64-bit value for the longs of each row."""
+    out = np.zeros(len(columns[0]), np.uint64)
+    for c in columns:
+        out = mix64(out * np.uint64(0x9E3779B97F4A7C15) + c.view(np.uint64))
+    return out
+
+
+def _places(v: np.ndarray, bits: int):
+    for salt in (0x9E3779B97F4A7C15, 0xD1B54A32D192ED03):
+        yield mix64(v * np.uint64(salt)) >> np.uint64(64 - bits)
+
+
+def bit_field(values: DataFrame, columns: list[str], bits: int) -> np.ndarray:
+    """A field of 2^bits bits with two set for each row of longs.
+
+    Tasks OR their rows into a field and emit it in pieces, which are OR-ed by piece; 2^bits / 8 bytes reach the
+    driver, whatever the number of rows. A false hit must cost work only, so an exact join has to follow.
+    """
+    import pandas as pd
+
+    piece = 1 << 16
+
+    def partial(batches):
+        field, seen = np.zeros(1 << bits >> 3, np.uint8), False
+        for b in batches:
+            for at in _places(joint(*(c.to_numpy(zero_copy_only=False) for c in b.columns)), bits):
+                np.bitwise_or.at(field, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+            seen = seen or b.num_rows > 0
+        rows = [(i, field[i * piece : (i + 1) * piece]) for i in range(-(-len(field) // piece))] if seen else []
+        rows = [(i, x.tobytes()) for i, x in rows if x.any()]
+        yield pa.record_batch({"i": pa.array([r[0] for r in rows], pa.int32()), "x": pa.array([r[1] for r in rows], pa.binary())})
+
+    def united(pdf: pd.DataFrame) -> pd.DataFrame:
+        x = np.bitwise_or.reduce([np.frombuffer(v, np.uint8) for v in pdf["x"]])
+        return pd.DataFrame({"i": pdf["i"][:1], "x": [x.tobytes()]})
+
+    out = np.zeros(1 << bits >> 3, np.uint8)
+    for r in values.select(*columns).mapInArrow(partial, "i int, x binary").groupBy("i").applyInPandas(united, "i int, x binary").collect():
+        out[r["i"] * piece : r["i"] * piece + len(r["x"])] = np.frombuffer(r["x"], np.uint8)
+    return out
+
+
+def held(field: np.ndarray, v: np.ndarray, bits: int) -> np.ndarray:
+    """Which values (of joint) may be in the field."""
+    ok = np.ones(len(v), bool)
+    for at in _places(v, bits):
+        ok &= (field[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
+    return ok

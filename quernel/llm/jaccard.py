@@ -6,19 +6,21 @@ links with nothing). Two documents link when 100 |A and B| >= percent |A or B|.
 documents that links connect.
 
 Copies (equal sets) fold into one representative first. The tree above the leaves is spread over the cluster
-by routing bits: a document hangs under each of its `k` least shingle hashes (all, if it has no more), so two
-nodes under different bits have no token in common there and their pair is pruned without being formed. Two
-linked documents share a routing bit but for a chance of at most (1 - percent / 100)^k, 3e-18 as set here,
-which is below that of two equal hashes. Below a routing bit stands a signature tree: leaves are documents
-with a token bitmap of four to eight bits a shingle, inner nodes the OR of their children's bitmaps with their
-range of sizes, and the dual traversal drops a pair of nodes when the most shingles that members could share
-(common bits plus collisions), or their sizes, rule a link out, or when all members are known to be connected.
-What remains is verified on the exact sets.
-
-Large classes stay cheap by star rounds before the traversal: under each bit all documents are compared
-with one leader only, exactly, so a group of n near copies costs n comparisons and then counts as connected.
-Bits of more than `hot` documents are left to those documents that have fewer than `enough` other bits, and
-are dealt out in blocks of `block` documents of like size, pair of blocks by pair of blocks.
+by routing bits: a document hangs under its least shingle hashes (all, if it has no more than `k`), so two
+nodes under different bits have no token in common there and their pair is pruned without being formed. Below
+a routing bit stands a signature tree: leaves are documents with a token bitmap of eight to sixteen bits a
+shingle, inner nodes the OR of their children's bitmaps with their range of sizes, and the dual traversal drops a
+pair of nodes when the most shingles that members could share (common bits plus collisions), or their sizes,
+rule a link out, or when all members are known to be connected. What remains is verified on the exact sets. A
+pair is formed only under the least bit that both have.
+
+Large classes stay cheap by rounds. First, under each bit all documents are compared with one leader only, so
+a group of n near copies costs n comparisons and then counts as connected. Then, `nearest` times, the traversal
+gives each document only the partner that could share most with it among those not yet connected; at last it
+gives all pairs that are left. Bits of more than `hot` documents are left out for those documents that have
+`least` other bits, and dealt out in blocks of `block` documents of like size, pair of blocks by pair of blocks.
+Two linked documents share none of their least `least` bits with a chance of about (1 - percent / 100)^least,
+6e-12 as set here.
 
 Defined results: null text and text without words: 0 shingles, component is the document itself; a null
 doc_id gets a null component and takes no part; a repeated row gets the same result each time (an id names
@@ -33,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, components, materialise
+from ._common import arrow_map, bit_field, components, groups, held, joint, materialise
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -93,8 +95,8 @@ def _digest(s: np.ndarray) -> int:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    """A bitmap of 4 to 8 bits a shingle (256 to 2^17 bits) as 64-bit words; halves of a longer one OR into a shorter one."""
-    bits = 1 << min(17, max(8, int(4 * max(1, len(s)) - 1).bit_length()))
+    """A bitmap of 8 to 16 bits a shingle (256 to 2^18 bits) as 64-bit words; halves of a longer one OR into a shorter one."""
+    bits = 1 << min(18, max(8, 3 + int(max(1, len(s)) - 1).bit_length()))
     at = np.zeros(bits, bool)
     at[(s >> np.uint64(7)) & np.uint64(bits - 1)] = True
     return np.packbits(at, bitorder="little").view(np.uint64)
@@ -121,8 +123,9 @@ class Tree:
             self.levels.append(tuple(f.reduceat(x, at, axis=0) for f, x in zip(ops, self.levels[-1], strict=True)))
 
 
-def traverse(x: Tree, y: Tree, percent: int, chunk: int = 1 << 22) -> np.ndarray:
-    """Pairs (leaf of x, leaf of y) that neither overlap bounds, sizes nor components rule out; x is y: each pair once."""
+def traverse(x: Tree, y: Tree, percent: int, chunk: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (leaf of x, leaf of y) that neither overlap bounds, sizes nor components rule out, and what they could share
+    to the sum of their sizes; x is y: each pair once."""
     depth = max(len(x.levels), len(y.levels))
     level = lambda t, k: t.levels[min(k, len(t.levels) - 1)]
     grown = lambda t, k: k < len(t.levels)
@@ -134,19 +137,21 @@ def traverse(x: Tree, y: Tree, percent: int, chunk: int = 1 << 22) -> np.ndarray
         # sizes within the ratio, and not all of one component
         ok = (100 * a[2][i] >= percent * b[1][j]) & (100 * b[2][j] >= percent * a[1][i]) & ~((a[3][i] == a[4][i]) & (b[3][j] == b[4][j]) & (a[3][i] == b[3][j]))
         i, j = i[ok], j[ok]
-        keep = np.ones(len(i), bool)
+        keep, score = np.ones(len(i), bool), np.zeros(len(i))
         step = max(1, chunk // a[0].shape[1])
         for s in range(0, len(i), step):
             p, q = i[s : s + step], j[s : s + step]
             most = np.bitwise_count(a[0][p] & b[0][q]).sum(1, dtype=np.int64) + np.minimum(a[5][p], b[5][q])
             keep[s : s + step] = most * (100 + percent) >= percent * (a[1][p] + b[1][q])
-        i, j = i[keep], j[keep]
+            score[s : s + step] = most / (a[1][p] + b[1][q])
+        i, j, score = i[keep], j[keep], score[keep]
         if k:  # to the children
             ci = [(i[:, None] * Tree.FAN + np.arange(Tree.FAN)) if grown(x, k) else i[:, None], (j[:, None] * Tree.FAN + np.arange(Tree.FAN)) if grown(y, k) else j[:, None]]
             i, j = (np.broadcast_to(c, (len(i), ci[0].shape[1], ci[1].shape[1])).ravel() for c in (ci[0][:, :, None], ci[1][:, None, :]))
             inside = (i < len(level(x, k - 1)[1])) & (j < len(level(y, k - 1)[1]))
             i, j = i[inside], j[inside]
-    return np.stack([i, j], 1)[(i < j) if x is y else slice(None)]
+    ok = i < j if x is y else np.ones(len(i), bool)
+    return np.stack([i[ok], j[ok]], 1), score[ok]
 
 
 def _class(n: np.ndarray, percent: int) -> np.ndarray:
@@ -154,8 +159,8 @@ def _class(n: np.ndarray, percent: int) -> np.ndarray:
     return np.floor(np.log(np.maximum(n, 1)) / np.log(100 / percent) + 1e-9).astype(np.int64)
 
 
-def join_group(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, sigs: list[bytes], percent: int, side: np.ndarray | None = None) -> np.ndarray:
-    """Candidate pairs of ids of one routing bit, by a tree for each size class; with side, only across sides 0 and 1."""
+def join_group(n: np.ndarray, comp: np.ndarray, sigs: list[bytes], percent: int, side: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate pairs of rows of one routing bit, by a tree for each size class, and their scores; with side, only across sides 0 and 1."""
     by, cls = {}, _class(n, percent)
     for c in np.unique(cls):
         for s in (None,) if side is None else (0, 1):
@@ -165,7 +170,7 @@ def join_group(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, sigs: list[byte
                 maps = [np.frombuffer(sigs[i], np.uint64) for i in k]
                 words = min(len(m) for m in maps)
                 by[c, s] = k, np.stack([_fold(m, words) for m in maps])
-    out = []
+    pairs, scores = [np.zeros((0, 2), np.int64)], [np.zeros(0)]
     tree = lambda k, sig: Tree(sig, n[k], comp[k])
     for (c, s), (k, sig) in by.items():
         for c2, s2 in ((c, s), (c + 1, s)) if side is None else ((c, 1), (c + 1, 1), (c - 1, 1)) if s == 0 else ():
@@ -174,9 +179,20 @@ def join_group(ids: np.ndarray, n: np.ndarray, comp: np.ndarray, sigs: list[byte
                 words = min(sig.shape[1], sig2.shape[1])
                 x = tree(k, _fold(sig, words))
                 y = x if (c2, s2) == (c, s) else tree(k2, _fold(sig2, words))
-                p = traverse(x, y, percent)
-                out.append(np.stack([ids[k[p[:, 0]]], ids[k2[p[:, 1]]]], 1))
-    return np.concatenate(out) if out else np.zeros((0, 2), np.int64)
+                p, score = traverse(x, y, percent)
+                pairs.append(np.stack([k[p[:, 0]], k2[p[:, 1]]], 1))
+                scores.append(score)
+    return np.concatenate(pairs), np.concatenate(scores)
+
+
+def _least_common(bits: np.ndarray, p: np.ndarray, bit: int, chunk: int = 1 << 16) -> np.ndarray:
+    """Which pairs of rows have bit as the least bit of both; bits is padded with the greatest long."""
+    ok, top = np.zeros(len(p), bool), np.iinfo(np.int64).max
+    for s in range(0, len(p), chunk):
+        a, b = bits[p[s : s + chunk, 0]], bits[p[s : s + chunk, 1]]
+        common = (a[:, :, None] == b[:, None, :]).any(2)
+        ok[s : s + chunk] = np.where(common, a, top).min(1) == bit
+    return ok
 
 
 def _described(docs: DataFrame, ngram: int, k: int, doc_id: str, text: str) -> DataFrame:
@@ -191,62 +207,68 @@ def _described(docs: DataFrame, ngram: int, k: int, doc_id: str, text: str) -> D
     return arrow_map(docs.select(F.col(doc_id).cast("long"), F.col(text)), go, "doc_id long, n long, digest long, bits array<long>, sig binary")
 
 
-def _verified(docs: DataFrame, pairs: DataFrame, ngram: int, percent: int, doc_id: str, text: str) -> DataFrame:
-    """The pairs (a, b) of ids that link, by their exact sets. Both texts come by joins on ids; b's set is kept while b stays the same."""
+def _verified(docs: DataFrame, pairs: DataFrame, ngram: int, percent: int, doc_id: str, text: str, field_bits: int) -> DataFrame:
+    """The pairs (a, b) of ids that link, by their exact sets; only texts of these ids are turned into sets and shuffled."""
     ids = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
-    texts = materialise(docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).join(ids, "i").groupBy("i").agg(F.min("t").alias("t")), "texts")
-    rows = pairs.join(texts.select(F.col("i").alias("a"), F.col("t").alias("ta")), "a").join(texts.select(F.col("i").alias("b"), F.col("t").alias("tb")), "b").select("a", "b", "ta", "tb")
+    field = docs.sparkSession.sparkContext.broadcast(bit_field(ids, ["i"], field_bits))
+
+    def wanted(t: pa.Table):
+        i = t.column(0).fill_null(-1).to_numpy()
+        k = np.flatnonzero(held(field.value, joint(i), field_bits))
+        yield pa.table({"i": pa.array(i[k]), "s": pa.array([shingles(t.column(1)[int(x)].as_py(), ngram).tobytes() for x in k], pa.binary())})
+
+    # rows that repeat an id stand for one text
+    sets = materialise(arrow_map(docs.select(F.col(doc_id).cast("long"), F.col(text)), wanted, "i long, s binary").dropDuplicates(["i"]).join(ids, "i", "left_semi"), "sets")
+    rows = pairs.join(sets.select(F.col("i").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("i").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
 
     def go(t: pa.Table):
-        out, last, sb = [], None, None
-        for a, b, ta, tb in zip(*(c.to_pylist() for c in t.columns), strict=True):
-            if b != last:
-                last, sb = b, shingles(tb, ngram)
-            sa = shingles(ta, ngram)
+        out = []
+        for a, b, sa, sb in zip(*t.columns, strict=True):
+            sa, sb = (np.frombuffer(x.as_buffer(), np.uint64) for x in (sa, sb))
             both = len(np.intersect1d(sa, sb, assume_unique=True))
             if both and 100 * both >= percent * (len(sa) + len(sb) - both):
-                out.append((a, b))
+                out.append((a.as_py(), b.as_py()))
         yield pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
 
     return arrow_map(rows, go, "a long, b long")
 
 
-def cluster(docs: DataFrame, percent: int = 80, ngram: int = 5, k: int = 25, hot: int = 256, enough: int = 18, block: int = 2048, stars: int = 2, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def cluster(docs: DataFrame, percent: int = 80, ngram: int = 5, k: int = 25, least: int = 16, hot: int = 256, block: int = 2048, nearest: int = 2, field_bits: int = 26, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
-    spark = docs.sparkSession
     described = materialise(_described(docs, ngram, k, doc_id, text), "described")
     full = described.where("n > 0 and doc_id is not null")
     # a set is known by its digest and size
-    reps = materialise(full.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bits", "sig"), "doc_id").alias("x")).select("rep", "digest", "n", "x.bits", "x.sig"), "representatives")
+    reps = full.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bits", "sig"), "doc_id").alias("x"))
+    reps = materialise(reps.select("rep", "digest", "n", "x.bits", "x.sig"), "representatives")
     under = reps.select("rep", "n", F.explode("bits").alias("bit"))
-    groups = under.groupBy("bit").agg(F.count("*").alias("members")).where("members > 1")
-    members = materialise(under.join(groups, "bit"), "members")
-    # rows of one id with different texts (repeated ids) hang together by the id itself
-    links = spark.createDataFrame([], "a long, b long")
-    comp = None
-    for turn in range(stars):
-        own = members.withColumn("comp", F.col("rep")) if comp is None else members.join(comp, members["rep"] == comp["node"], "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
-        order = F.xxhash64("rep", F.lit(turn))
-        heads = own.groupBy("bit").agg(F.min_by(F.struct(F.col("rep").alias("leader"), F.col("comp").alias("leader_comp")), order).alias("h")).select("bit", "h.*")
-        votes = own.join(heads, "bit").where("comp <> leader_comp").groupBy("rep", "leader").agg(F.count("*").alias("votes"), F.min("n").alias("n"))
-        pairs = votes.where(F.col("votes") >= F.least(F.col("n"), F.lit(k)) * 0.3).groupBy("rep").agg(F.max_by("leader", F.struct("votes", "leader")).alias("b")).select(F.col("rep").alias("a"), "b")
-        links = materialise(links.unionByName(_verified(docs, materialise(pairs, "stars"), ngram, percent, doc_id, text)), "links")
+    members = materialise(under.join(under.groupBy("bit").agg(F.count("*").alias("members")).where("members > 1"), "bit"), "members")
+    verify = lambda pairs, name: materialise(_verified(docs, materialise(pairs, name), ngram, percent, doc_id, text, field_bits), "links")
+    # leaders: a document's is the one it shares most bits with
+    heads = members.groupBy("bit").agg(F.min_by("rep", F.xxhash64("rep")).alias("leader"))
+    votes = members.join(heads, "bit").where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("votes"), F.min("n").alias("n"))
+    stars = votes.where(F.col("votes") >= F.least(F.col("n"), F.lit(k)) * 0.3).groupBy("rep").agg(F.max_by("leader", F.struct("votes", "leader")).alias("b")).select(F.col("rep").alias("a"), "b")
+    links = verify(stars, "stars")
+    # the bits that the traversal uses
+    common = members.where(F.col("members") > hot).groupBy("rep").agg(F.collect_list("bit").alias("hot_bits"))
+    rest = F.array_except("bits", F.coalesce("hot_bits", F.array().cast("array<bigint>")))
+    routed = reps.join(common, "rep", "left").select("rep", "n", "sig", F.array_sort(F.when(F.size(rest) >= least, F.slice(rest, 1, least)).otherwise(F.col("bits"))).alias("bits"))
+    routed = materialise(routed, "routed")
+    leaves = materialise(routed.select("rep", "n", F.explode("bits").alias("bit")).join(members.select("bit").distinct(), "bit", "left_semi"), "leaves")
+    for turn in range(nearest + 1):
         comp = components(links)
-    own = members.join(comp, members["rep"] == comp["node"], "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
-    mixed = own.groupBy("bit").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bit")
-    spare = members.where(F.col("members") > hot).groupBy("rep").agg(F.count("*").alias("hot_bits"))
-    left = own.join(mixed, "bit").join(spare, "rep", "left").where((F.col("members") <= hot) | (F.least("n", F.lit(k)) - F.coalesce("hot_bits", F.lit(0)) < enough)).drop("hot_bits")
-    pairs = materialise(_candidates(left, reps, percent, block), "candidates")
-    links = materialise(links.unionByName(_verified(docs, pairs, ngram, percent, doc_id, text)), "links")
+        own = leaves.join(comp, leaves["rep"] == comp["node"], "left").select("bit", "rep", "n", F.coalesce("component", "rep").alias("comp"))
+        mixed = own.groupBy("bit").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bit")
+        found = _candidates(own.join(mixed, "bit", "left_semi"), routed.select("rep", "sig", "bits"), percent, block, best=turn < nearest)
+        links = materialise(links.unionByName(verify(found, "candidates")), "links")
     comp = components(links)
     # classes of copies and links between representatives, back to documents
     final = reps.join(comp, reps["rep"] == comp["node"], "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = described.join(final, ["digest", "n"], "left")
+    out = described.select("doc_id", "n", "digest").join(final, ["digest", "n"], "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
 
 
-def _candidates(left: DataFrame, reps: DataFrame, percent: int, block: int) -> DataFrame:
-    """Distinct pairs (a, b) that the dual traversal leaves; left: bit, rep, n, comp."""
+def _candidates(left: DataFrame, routed: DataFrame, percent: int, block: int, best: bool) -> DataFrame:
+    """Pairs (a, b) that the dual traversal leaves; left: bit, rep, n, comp; best: for each document under a bit only the likeliest."""
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
     here = materialise(left.select("bit", "rep", "n", "comp", size_class.alias("cls")), "left")
     # a task is (bit, part): small bits whole; large ones by pairs of blocks of near sizes
@@ -264,34 +286,30 @@ def _candidates(left: DataFrame, reps: DataFrame, percent: int, block: int) -> D
     up = F.transform(series(F.coalesce("next_blocks", F.lit(0))), lambda o: F.struct(name(F.col("cls"), F.col("mine"), F.col("cls") + 1, o).alias("part"), F.lit(0).alias("side")))
     down = F.transform(series(F.coalesce("prev_blocks", F.lit(0))), lambda o: F.struct(name(F.col("cls") - 1, o, F.col("cls"), F.col("mine")).alias("part"), F.lit(1).alias("side")))
     large = rows.select("bit", "rep", "n", "comp", F.explode(F.concat(within, up, down)).alias("x")).select("bit", "x.part", "x.side", "rep", "n", "comp")
-    tasks = small.unionByName(large).join(reps.select("rep", "sig"), "rep")
-    tasks = tasks.repartition("bit", "part").sortWithinPartitions("bit", "part")
-
-    def pairs_of(rows: pa.Table) -> pa.Table:
-        n, ids, comp = (rows.column(c).to_numpy() for c in ("n", "rep", "comp"))
-        side, part = rows.column("side").to_numpy(), rows.column("part")[0].as_py().split(":")
-        across = len(part) == 4 and (part[0], part[1]) != (part[2], part[3])
-        p = join_group(ids, n, comp, rows.column("sig").to_pylist(), percent, side if across else None)
-        return pa.table({"a": pa.array(p.min(1) if len(p) else [], pa.int64()), "b": pa.array(p.max(1) if len(p) else [], pa.int64())})
+    tasks = small.unionByName(large).withColumn("task", F.xxhash64("bit", "part")).join(routed, "rep")
+    tasks = tasks.repartition("task").sortWithinPartitions("task", "bit", "part")
 
     def run(batches):
-        """Groups come one after another; one may go on into the next batch."""
-        rest = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-            if not t.num_rows:
-                continue
-            bit, part = t.column("bit").to_numpy(), t.column("part").to_numpy(zero_copy_only=False)
-            cut = np.flatnonzero((bit[1:] != bit[:-1]) | (part[1:] != part[:-1])) + 1
-            at = [0, *cut]
-            for x, y in zip(at, [*cut], strict=False):
-                yield from pairs_of(t.slice(x, y - x)).to_batches()
-            rest = t.slice(at[-1])
-        if rest is not None and rest.num_rows:
-            yield from pairs_of(rest).to_batches()
-
-    return tasks.select("bit", "part", "side", "rep", "n", "comp", "sig").mapInArrow(run, "a long, b long").distinct()
+        for rows in groups(batches, ["task", "bit"]):
+            n, ids, comp, bit = rows.column("n").to_numpy(), rows.column("rep").to_numpy(), rows.column("comp").to_numpy(), rows.column("bit")[0].as_py()
+            part = rows.column("part")[0].as_py().split(":")
+            across = len(part) == 4 and (part[0], part[1]) != (part[2], part[3])
+            p, score = join_group(n, comp, rows.column("sig").to_pylist(), percent, rows.column("side").to_numpy() if across else None)
+            lists = rows.column("bits").to_pylist()
+            bits = np.full((len(lists), max(map(len, lists))), np.iinfo(np.int64).max)
+            for i, x in enumerate(lists):
+                bits[i, : len(x)] = x
+            ok = _least_common(bits, p, bit)
+            p, score = p[ok], score[ok]
+            if best and len(p):
+                row, other = np.concatenate([p[:, 0], p[:, 1]]), np.concatenate([p[:, 1], p[:, 0]])
+                order = np.lexsort((ids[other], -np.concatenate([score, score]), row))
+                first = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])]
+                p = np.unique(np.sort(np.stack([row[first], other[first]], 1), 1), axis=0)
+            a, b = ids[p[:, 0]], ids[p[:, 1]]
+            yield pa.record_batch({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+
+    return tasks.select("task", "bit", "part", "side", "rep", "n", "comp", "sig", "bits").mapInArrow(run, "a long, b long").distinct()
 
 
 def keep_one(docs: DataFrame, percent: int = 80, ngram: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
