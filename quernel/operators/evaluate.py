@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import fixed as X
@@ -71,3 +71,27 @@ def sweep(settings: DataFrame, scored: DataFrame) -> DataFrame:
 def same_files(chunks: DataFrame, declared: list[str]) -> DataFrame:
     """One row: does the collection hold exactly the declared files."""
     return chunks.agg((F.array_sort(F.collect_set("source_file")) == F.array(*map(F.lit, sorted(declared)))).alias("agrees"))
+
+
+CASE_SCHEMA = "question string, type string, expect_keywords array<string>, expect_any array<string>, expect_source string, forbid_keywords array<string>, note string"
+
+
+def read_cases(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Cases of YAML files (rows with rel_path and content, as sources.files.scan gives them), with their file."""
+
+    def go(it):
+        import pandas as pd
+        import yaml
+
+        names = [c.split()[0] for c in CASE_SCHEMA.split(", ")]
+        for pdf in it:
+            rows = [(p, *(c.get(n, "answerable" if n == "type" else None) for n in names)) for p, b in zip(pdf["rel_path"], pdf["content"], strict=True) for c in yaml.safe_load(b) or []]
+            yield pd.DataFrame(rows, columns=["rel_path", *names])
+
+    return files.select("rel_path", "content").mapInPandas(go, f"rel_path string, {CASE_SCHEMA}")
+
+
+def clamp_settings(top_k, final_k, min_similarity, temperature):
+    """Settings within their ranges."""
+    within = lambda c, lo, hi: F.greatest(F.lit(lo), F.least(F.lit(hi), c))
+    return F.struct(within(top_k, 5, 50).alias("top_k"), within(final_k, 2, 12).alias("final_k"), within(min_similarity, 0.1, 0.8).alias("min_similarity"), within(temperature, 0.0, 1.0).alias("temperature"))

@@ -521,6 +521,38 @@ def _(spark, sf_dir):
     return evaluate.verdicts(d).select("type", "refused", "answer", "passed", F.array_join("issues", ",").alias("issues"))
 
 
+SETTINGS = [(3, 20, 0.05, 2.0), (20, 4, 0.35, 0.0), (90, 1, 0.9, 0.5)]
+
+
+@query("settings_clamp", f"SELECT greatest(5, least(50, a))::INT AS top_k, greatest(2, least(12, b))::INT AS final_k, greatest(0.1::DOUBLE, least(0.8::DOUBLE, c)) AS min_similarity, greatest(0.0::DOUBLE, least(1.0::DOUBLE, d)) AS temperature FROM {values(*SETTINGS)} v(a, b, c, d)")
+def _(spark, sf_dir):
+    d = literals(spark, *SETTINGS, names="a b c d")
+    return d.select(evaluate.clamp_settings(F.col("a"), F.col("b"), F.col("c"), F.col("d")).alias("s")).select("s.*")
+
+
+WARNINGS = [("d", 1, 1, 0.7, "a,b"), ("d", 1, 2, 0.4, "b,c"), ("d", 2, 1, 0.9, "x")]
+
+
+@query("merge_warnings", f"SELECT doc, page, min(score)::DOUBLE AS score, CASE page WHEN 1 THEN 'a,b,c' ELSE 'x' END AS issues FROM {values(*WARNINGS)} v(doc, page, seq, score, issues) GROUP BY doc, page")
+def _(spark, sf_dir):
+    d = literals(spark, *WARNINGS, names="doc page seq score i").select("doc", "page", "seq", "score", F.split("i", ",").alias("issues"))
+    return chunking.merge_warnings(d).select("doc", "page", "score", F.array_join("issues", ",").alias("issues"))
+
+
+@query("document_sizes", "SELECT source, count(*)::BIGINT AS chunks, max(n_chars) AS longest FROM documents GROUP BY source")
+def _(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("source").agg(F.count("*").alias("chunks"), F.max("n_chars").alias("longest"))
+
+
+_CLEAN = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(x, '\r\n?', chr(10), 'g'), '(\w)-\n(\w)', '\1\2', 'g'), '(?m)^\s*[-–—]?\s*[0-9]{1,4}\s*[-–—]?\s*$', '', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@query("text_blocks", rf"WITH s AS (SELECT page_id, regexp_split_to_array(regexp_replace(html, '</p>', chr(10) || chr(10), 'g'), '\n\s*\n') AS s FROM pages), u AS (SELECT page_id, generate_subscripts(s, 1) AS ord, unnest(s) AS x FROM s), c AS (SELECT page_id::VARCHAR AS rel_path, ord::INT AS ord, 'Bölüm ' || ord AS locator, {_CLEAN} AS text FROM u) SELECT * FROM c WHERE text <> ''")
+def _(spark, sf_dir):
+    p = table(spark, sf_dir, "pages").select(F.col("page_id").cast("string").alias("rel_path"), F.regexp_replace("html", "</p>", "\n\n").alias("text"))
+    return chunking.text_blocks(p)
+
+
 # ---------------------------------------------------------------- tools
 @query("text_search", f"WITH h AS (SELECT t AS term, doc_id FROM documents, (VALUES ('the'), ('Licensed under'), ('GNU')) v(t) WHERE contains({Q.tr_lower('text')}, {Q.tr_lower('t')})), r AS (SELECT *, count(*) OVER (PARTITION BY term) AS hits, row_number() OVER (PARTITION BY term ORDER BY doc_id) AS rank FROM h) SELECT term, doc_id, hits::BIGINT AS hits, rank::INT AS rank FROM r WHERE rank <= 15")
 def _(spark, sf_dir):

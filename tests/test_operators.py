@@ -215,3 +215,10 @@ def test_stream_refresh(spark, tmp_path):
 
     assert push(1, ("a", "1", "x y"), ("b", "1", "z")) == [("a", "x"), ("a", "y"), ("b", "z")]
     assert push(2, ("a", "2", "w"), ("b", "1", "other")) == [("a", "w"), ("b", "z")]
+
+
+def test_cases_from_yaml(spark, tmp_path):
+    (tmp_path / "set.yaml").write_text("# files: a.pdf\n- question: Kaç gün?\n  expect_keywords: ['5']\n- question: Yok?\n  type: must_refuse\n", encoding="utf-8")
+    files = src.scan(spark, str(tmp_path), ["yaml"])
+    got = evaluate.read_cases(spark, files).orderBy("question").collect()
+    assert [(r.question, r.type, r.expect_keywords) for r in got] == [("Kaç gün?", "answerable", ["5"]), ("Yok?", "must_refuse", None)]
