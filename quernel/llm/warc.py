@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import struct
 import zlib
 from collections.abc import Iterator
 
@@ -109,7 +108,7 @@ def read_member(content: bytes, offset: int, length: int) -> tuple[dict[str, str
     return parse(zlib.decompress(content[offset : offset + length], 31))
 
 
-def plan(pages: DataFrame, least_bytes: int = 0, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def plan(pages: DataFrame, least_bytes: int = 0, broadcast_rows: int = 100_000, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """page_id, url, payload, payload_bytes, payload_digest, record_type, refers_to of every row."""
     payload = F.encode(F.coalesce(F.col(html), F.lit("")), "UTF-8")
     sha1 = F.sha1(payload)
@@ -117,98 +116,72 @@ def plan(pages: DataFrame, least_bytes: int = 0, page_id: str = "page_id", url:
     rows = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), payload.alias("payload"), size.alias("payload_bytes"), sha1.alias("sha1"))
     # one row a payload that occurs again
     keys = pages.select(F.col(page_id).cast("long").alias("page_id"), sha1.alias("sha1"), size.alias("payload_bytes")).where(F.col("payload_bytes") >= least_bytes)
-    newest = keys.groupBy("sha1").agg(F.max("page_id").alias("newest"), F.count("*").alias("copies")).where("copies > 1").select("sha1", "newest")
-    rows = rows.join(newest, "sha1", "left")
+    newest = materialise(keys.groupBy("sha1").agg(F.max("page_id").alias("newest"), F.count("*").alias("copies")).where("copies > 1").select("sha1", "newest"), "newest")
+    # up to broadcast_rows repeated payloads (some 10 MB) go to the tasks; more are joined by a shuffle of the pages
+    few = newest.limit(broadcast_rows + 1).count() <= broadcast_rows
+    rows = rows.join(F.broadcast(newest) if few else newest, "sha1", "left")
     revisit = F.coalesce((F.col("payload_bytes") >= least_bytes) & F.col("newest").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("newest")), F.lit(False))
     return rows.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("newest"))).drop("newest")
 
 
-def write_archives(planned: DataFrame, archive_bytes: int = 32 << 20, level: int = 1) -> DataFrame:
-    """archive, part, content: monolithic gzip streams of about archive_bytes of records each, in parts of some MB."""
+def write_archives(planned: DataFrame, archive_bytes: int = 16 << 20, level: int = 1) -> DataFrame:
+    """archive, content: monolithic gzip streams of about archive_bytes of records each, a row an archive."""
 
     def go(batches):
         from uuid import uuid4
 
-        z, name, size, part, out = None, "", 0, 0, []
-
-        def flush(last: bool):
-            nonlocal z, part, out
-            if last:
-                out.append(z.flush())
-            content = b"".join(out)
-            out = []
-            got = pa.record_batch({"archive": [name], "part": pa.array([part], pa.int32()), "content": pa.array([content], pa.binary())})
-            part += 1
-            if last:
-                z = None
-            return got
-
-        held = 0
+        z, size, out = None, 0, []
+
+        def archive():
+            content = b"".join([*out, z.flush()])
+            return pa.record_batch({"archive": [f"pages-{uuid4().hex}.warc.gz"], "content": pa.array([content], pa.binary())})
+
         for b in batches:
             cols = [b.column(b.schema.get_field_index(c)) for c in ("record_type", "page_id", "url", "payload", "sha1", "refers_to", "payload_bytes")]
             for i in range(b.num_rows):
                 kind, page, url, payload, sha1, refers, n = (c[i].as_py() for c in cols)
                 if z is None:
-                    z, name, size, part = zlib.compressobj(level, zlib.DEFLATED, 31), f"pages-{uuid4().hex}.warc.gz", 0, 0
+                    z, size, out = zlib.compressobj(level, zlib.DEFLATED, 31), 0, []
                 data = record(kind, page, url, payload, base64.b32encode(bytes.fromhex(sha1)).decode(), refers, n)
                 size += len(data)
-                x = z.compress(data)
-                held += len(x)
-                out.append(x)
+                out.append(z.compress(data))
                 if size >= archive_bytes:
-                    yield flush(True)
-                    held = 0
-                elif held >= 4 << 20:
-                    yield flush(False)
-                    held = 0
+                    yield archive()
+                    z = None
         if z is not None:
-            yield flush(True)
+            yield archive()
 
-    return planned.select("record_type", "page_id", "url", "payload", "sha1", "refers_to", "payload_bytes").mapInArrow(go, "archive string, part int, content binary")
+    return planned.select("record_type", "page_id", "url", "payload", "sha1", "refers_to", "payload_bytes").mapInArrow(go, "archive string, content binary")
 
 
 def normalise_archives(archives: DataFrame, level: int = 1, piece_bytes: int = 4 << 20) -> DataFrame:
-    """archive, part, first, content, offsets, lengths of the archives with a member a record.
+    """archive, part, first, content, offsets, lengths of the archives with a member a record; no shuffle.
 
     A part holds whole members; first is its own offset in the archive, offsets and lengths are the sidecar
-    index of its members. Parts of an archive are inflated in their order, one archive at a time.
+    index of its members. Each archive is inflated once, in pieces.
     """
 
     def go(batches):
-        def rows():
-            for b in batches:
-                for a, c in zip(b.column(0).to_pylist(), b.column(2), strict=True):
-                    yield a, c.as_py()
-
-        it = rows()
-        pending = next(it, None)
-        while pending is not None:
-            archive = pending[0]
-
-            def chunks():
-                nonlocal pending
-                while pending is not None and pending[0] == archive:  # noqa: B023
-                    chunk = pending[1]
-                    pending = next(it, None)
-                    yield chunk
-
-            part, first, size, members, offsets = 0, 0, 0, [], []
-
-            def out():
-                return pa.record_batch({"archive": [archive], "part": pa.array([part], pa.int32()), "first": pa.array([first], pa.int64()), "content": pa.array([b"".join(members)], pa.binary()), "offsets": pa.array([offsets], pa.list_(pa.int64())), "lengths": pa.array([[len(m) for m in members]], pa.list_(pa.int64()))})  # noqa: B023
-
-            for member, offset, length in normalise(chunks(), level):
-                members.append(member)
-                offsets.append(offset)
-                size += length
-                if size >= piece_bytes:
+        for b in batches:
+            for i in range(b.num_rows):
+                archive, whole = b.column(0)[i].as_py(), b.column(1)[i].as_buffer()
+                chunks = (whole[k : k + (1 << 20)].to_pybytes() for k in range(0, whole.size, 1 << 20))
+                part, first, size, members, offsets = 0, 0, 0, [], []
+
+                def out():
+                    return pa.record_batch({"archive": [archive], "part": pa.array([part], pa.int32()), "first": pa.array([first], pa.int64()), "content": pa.array([b"".join(members)], pa.binary()), "offsets": pa.array([offsets], pa.list_(pa.int64())), "lengths": pa.array([[len(m) for m in members]], pa.list_(pa.int64()))})  # noqa: B023
+
+                for member, offset, length in normalise(chunks, level):
+                    members.append(member)
+                    offsets.append(offset)
+                    size += length
+                    if size >= piece_bytes:
+                        yield out()
+                        part, first, size, members, offsets = part + 1, offset + length, 0, [], []
+                if members:
                     yield out()
-                    part, first, size, members, offsets = part + 1, offset + length, 0, [], []
-            if members:
-                yield out()
 
-    ordered = archives.select("archive", "part", "content").repartition("archive").sortWithinPartitions("archive", "part")
-    return ordered.mapInArrow(go, "archive string, part int, first long, content binary, offsets array<long>, lengths array<long>")
+    return archives.select("archive", "content").mapInArrow(go, "archive string, part int, first long, content binary, offsets array<long>, lengths array<long>")
 
 
 def read_archives(normalised: DataFrame) -> DataFrame:
@@ -234,7 +207,7 @@ def read_archives(normalised: DataFrame) -> DataFrame:
     return normalised.select("first", "content", "offsets", "lengths").mapInArrow(go, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, body binary")
 
 
-def round_trip(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 32 << 20, level: int = 1, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
+def round_trip(pages: DataFrame, least_bytes: int = 0, archive_bytes: int = 16 << 20, level: int = 1, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """Writes pages as monolithic archives, normalises these and reads every record back by its index entry."""
-    raw = materialise(write_archives(plan(pages, least_bytes, page_id, url, html), archive_bytes, level), "monolithic")
+    raw = materialise(write_archives(plan(pages, least_bytes, page_id=page_id, url=url, html=html), archive_bytes, level), "monolithic")
     return read_archives(materialise(normalise_archives(raw, level), "normalised"))
