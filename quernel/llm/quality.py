@@ -179,10 +179,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, doc_id: str
     unlabelled = train(docs).select(F.col(doc_id).cast("long").alias("i")).orderBy(rank(F.col("i") + 1)).limit(max_rows).distinct().withColumn("positive", F.lit(False))
     # both sides of the union are at most max_rows ids
     chosen = docs.join(F.broadcast(positive.unionByName(unlabelled)), F.col(doc_id) == F.col("i")).select(F.col(doc_id), F.col(text), "positive")
-    rows = _features(chosen, doc_id, text, "positive").select("doc_id", "positive", "x").limit(8 * max_rows).collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["positive"], r["x"]))
-    x = np.array([r["x"] for r in rows], np.float64).reshape(-1, FEATURES)
-    p = np.array([r["positive"] for r in rows], bool)
+    rows = _features(chosen, doc_id, text, "positive").limit(8 * max_rows).toArrow()
+    p = rows.column("positive").to_numpy().astype(bool)
+    x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
+    order = np.lexsort((*x.T, p, rows.column("doc_id").to_numpy()))  # rows come in any order
+    x, p = x[order], p[order]
     if not p.any() or p.all():
         return QualityModel(None, 0.5)
     prior = estimate_prior(x[p], x[~p])

@@ -21,6 +21,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ._common import materialise
+
 CANDIDATE = r"(?<![A-Za-z0-9+/_\-])(?:(?=[A-Za-z+/_\-]*+[0-9])[A-Za-z0-9+/_\-]{12,}+|(?<=[:=][\"']?|[:=]\s[\"']?)[A-Za-z0-9+/_\-!@#$%^&*.~]{6,}+)"
 OPEN, CLOSE = "", ""
 #: How much text before and after a candidate counts as its neighbourhood.
@@ -130,7 +132,8 @@ def labelled_findings(spark: SparkSession, n: int = 6000) -> DataFrame:
 def train(labelled: DataFrame, trees: int = 40, depth: int = 9, seed: int = 7) -> PipelineModel:
     """A random forest over FEATURES from labelled findings (before, candidate, after, path, label)."""
     assembler = VectorAssembler(inputCols=FEATURES, outputCol="features")
-    rows = featurise(labelled.where("length(candidate) > 0 and label is not null"))
+    # a table of numbers, so that the forest's jobs don't plan and compile the features each time
+    rows = materialise(featurise(labelled.where("length(candidate) > 0 and label is not null")).select("label", *FEATURES), "labelled")
     forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=seed, subsamplingRate=0.8, featureSubsetStrategy="sqrt", cacheNodeIds=False)
     return PipelineModel([assembler, forest.fit(assembler.transform(rows))])
 
