@@ -128,12 +128,14 @@ class Matcher:
                 if d is not None and (not group or d - group[-1] <= 2 * k + 1):
                     group.append(d)
                     continue
-                for lo, hi in self._windows(group, len(item)):
-                    if k == 0 or norm.startswith(item, max(0, lo)):
-                        got = (0, lo, lo + len(item)) if lo >= 0 and norm.startswith(item, lo) else None
+                for window in self._windows(group, len(item)):
+                    # all pieces of an unchanged passage hit on its own diagonal, so only these need a look
+                    same = next((x for x in window if x >= 0 and norm.startswith(item, x)), None)
+                    if same is not None:
+                        got = (0, same, same + len(item))
                     else:
-                        base = max(0, lo - k)
-                        got = nearest(item, norm[base : hi + len(item) + k], k)
+                        base = max(0, window[0] - k)
+                        got = nearest(item, norm[base : window[-1] + len(item) + k], k)
                         got = got and (got[0], got[1] + base, got[2] + base)
                     if got:
                         out.append((item_id, got[1], got[2], got[0]))
@@ -151,14 +153,13 @@ class Matcher:
 
     @staticmethod
     def _windows(group: list[int], size: int):
-        """Spans of diagonals of at most an item's length, so that a chain of hits can't make one long window."""
-        lo = prev = group[0]
-        for d in group[1:]:
-            if d - lo > size:
-                yield lo, prev
-                lo = d
-            prev = d
-        yield lo, prev
+        """Runs of diagonals of at most an item's length, so that a chain of hits can't make one long window."""
+        at = 0
+        for i, d in enumerate(group):
+            if d - group[at] > size:
+                yield group[at:i]
+                at = i
+        yield group[at:]
 
 
 def _blocks(items: DataFrame, block_chars: int, item_id: str, text: str) -> list[list[tuple]]:

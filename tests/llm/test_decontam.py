@@ -60,6 +60,16 @@ def test_against_brute_force(spark, block):
     assert sorted(str(r.doc_id) for r in kept) == sorted(str(d) for d, *_ in docs if d not in {w[0] for w in want})
 
 
+def test_item_that_repeats_itself_at_the_start_of_a_text():
+    options = " ".join(f"({c}) The second train catches up at {n} p.m." for c, n in zip("ABCD", (3, 4, 5, 6), strict=True))
+    item = f"{options} Which one is right, if two trains leave the same station, the first of them at noon with 60 km an hour, the second at one o'clock with 80 km an hour, and neither of them stops anywhere on the way nor changes its speed before they meet again on the line?"
+    norm = decontam.normalise(item)
+    matcher = decontam.Matcher([(1, item)], 0.06)
+    for text in (item, item + " So they say.", item[:40] + "q" + item[41:] + " So they say.", "They ask: " + item):
+        (got,) = matcher.find(text)
+        assert got[3] == distance(norm, decontam.normalise(text)) and distance(norm, decontam.normalise(text[got[1] : got[2]])) == got[3]
+
+
 def test_empty_tables(spark):
     none, some = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a")], "item_id long, text string")
