@@ -5,9 +5,10 @@ lexical pattern is the two words before a mention, or the word before with the w
 seeds and all other tokens that look like an identifier (six characters or more, three digits or more, or an
 '@'). Patterns and the distinct instances they go with make a graph that Spark scores in rounds: a pattern is as
 good as the mean confidence of its instances, an instance as good as the chance that not all of its good
-patterns err, seeds count 1. Patterns of at least `support` distinct seeds of one kind and a confidence of at
-least `least` find the identifiers that no base pattern sees; those are added, of the kind of the pattern's
-seeds, where they don't overlap a base span.
+patterns err, seeds count 1. Patterns of a confidence of at least `least` for a kind, with at least `support`
+distinct seeds or instances that other good patterns of that kind found, find the identifiers that no base pattern
+sees; those are added, of the pattern's kind, where they don't overlap a base span. A pattern takes the kind it is
+most confident of (of equals the first by name), anew in each of the `rounds` rounds.
 
 Positions are code points, ends exclusive. Defined results: null is an empty text, without spans; texts are
 scanned whole at linear cost; rows alike get results alike and count once as evidence, since instances are
@@ -19,7 +20,7 @@ from __future__ import annotations
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, materialise
@@ -134,17 +135,24 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
 def bootstrap(graph: DataFrame, support: int = 4, least: float = 0.8, rounds: int = 3) -> DataFrame:
     """pattern, kind, confidence of the patterns that pass; graph: distinct (pattern, value, kind or null)."""
     seeds = graph.where("kind is not null").groupBy("pattern", "kind").agg(F.count_distinct("value").alias("seeds"))
-    size = graph.groupBy("pattern").agg(F.count_distinct("value").alias("n"))
-    # at most one kind of a pattern can pass: least is above one half
-    lead = materialise(seeds.join(size, "pattern").where((F.col("seeds") >= support) & (F.col("seeds") >= (least - 0.5) * F.col("n"))), "leading")
-    open_ = materialise(graph.groupBy("pattern", "value").agg(F.max("kind").alias("any")).where("any is null").join(lead.select("pattern", "kind", "seeds", "n"), "pattern").select("pattern", "value", "kind", "seeds", "n"), "open")
-    good = lead.select("pattern", "kind", (F.col("seeds") / F.col("n")).alias("confidence"))
+    size = materialise(graph.groupBy("pattern").agg(F.count_distinct("value").alias("n")), "sizes")
+    seeds = materialise(seeds, "seeds")
+    open_ = materialise(graph.groupBy("pattern", "value").agg(F.max("kind").alias("any")).where("any is null").select("pattern", "value"), "open")
+
+    def best(evidence: DataFrame) -> DataFrame:
+        """The patterns that pass, each with one kind; evidence: pattern, kind, found (seeds and believed instances), worth."""
+        rated = evidence.where(F.col("found") >= support).join(size, "pattern").select("pattern", "kind", (F.col("worth") / F.col("n")).alias("confidence")).where(F.col("confidence") >= least)
+        first = F.row_number().over(Window.partitionBy("pattern").orderBy(F.desc("confidence"), "kind"))
+        return materialise(rated.withColumn("first", first).where("first = 1").drop("first"), "patterns")
+
+    own = seeds.select("pattern", "kind", F.col("seeds").alias("found"), F.col("seeds").cast("double").alias("worth"))
+    good = best(own)
     for _ in range(rounds):
-        # an open instance is as good as the chance that not all of its good patterns err
-        value = open_.join(good.where(F.col("confidence") >= least), ["pattern", "kind"]).groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("belief"))
-        gained = open_.join(value, ["value", "kind"]).groupBy("pattern", "kind").agg(F.sum("belief").alias("gain"))
-        good = materialise(lead.join(gained, ["pattern", "kind"], "left").select("pattern", "kind", ((F.col("seeds") + F.coalesce("gain", F.lit(0.0))) / F.col("n")).alias("confidence")), "patterns")
-    return good.where(F.col("confidence") >= least)
+        # an open instance is as good as the chance that not all of its good patterns err; with any it is at least as good as `least`
+        value = open_.join(good, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("belief"))
+        gained = open_.join(value, "value").groupBy("pattern", "kind").agg(F.count("*").alias("found"), F.sum("belief").alias("worth"))
+        good = best(own.unionByName(gained).groupBy("pattern", "kind").agg(F.sum("found").alias("found"), F.sum("worth").alias("worth")))
+    return good
 
 
 def find(docs: DataFrame, support: int = 4, least: float = 0.8, rounds: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -46,5 +46,26 @@ def test_bootstrap_finds_unseen_identifiers(spark):
     assert all(got[d][0] == got[d][1] for d, _ in docs if d not in (20, 22, None))
 
 
+def test_belief_gained_elsewhere_lifts_and_induces_patterns(spark):
+    edges = [("strong", f"seed{i}", "email") for i in range(40)] + [("strong", f"code{i}", None) for i in range(10)]
+    # 4 of 14 values of "few" are seeds, "none" and "last" have none at all; "other" holds too few believed ones
+    edges += [("few", f"seed{i}", "email") for i in range(4)] + [("few", f"code{i}", None) for i in range(10)]
+    edges += [("none", f"code{i}", None) for i in range(4)]
+    edges += [("other", f"code{i}", None) for i in range(3)] + [("weak", f"code{i}", None) for i in range(4)] + [("weak", f"x{i}", None) for i in range(4)]
+    # two kinds, neither good enough by its seeds; e-mail is believed
+    edges += [("both", f"ip{i}", "ip") for i in range(1)] + [("both", f"code{i}", None) for i in range(9)]
+    got = {r.pattern: (r.kind, r.confidence) for r in pii.bootstrap(spark.createDataFrame(edges, "pattern string, value string, kind string")).collect()}
+    assert {p: k for p, (k, _) in got.items()} == {"strong": "email", "few": "email", "none": "email", "both": "email"}
+    assert all(0.8 <= c <= 1 for _, c in got.values())
+
+
+def test_believed_instances_induce_a_pattern_in_texts(spark):
+    docs = [(100 + i, f"please write to user{i}x@host{i}.org today, thanks") for i in range(30)]
+    docs += [(30 + i, f"please write to agent-{i}{i}{i}{i} today, thanks") for i in range(6)] + [(40 + i, f"the badge no. agent-{i}{i}{i}{i} was lost") for i in range(6)]
+    docs += [(50, "the badge no. agent-98765 was lost")]
+    got = {r.doc_id: [tuple(x) for x in r.spans] for r in pii.find(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got[30] == [("email", 16, 26)] and got[40] == [("email", 14, 24)] and got[50] == [("email", 14, 25)]
+
+
 def test_empty(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
