@@ -4,6 +4,8 @@ A test item of n characters may differ from a passage of a document by at most k
 It is split into k + 1 pieces, one of which such a passage must hold unchanged. One Aho-Corasick pass over
 a whole text finds all piece hits; hits of an item whose diagonals lie near each other are one candidate
 place, and Myers' bit-parallel algorithm computes the least edit distance of the item to any passage there.
+An edit changes at most GRAM of an item's distinct GRAM-character strings, so a place that lacks more than k GRAM
+of them can't hold the item and is left without computing the distance.
 
 Both sides are compared in lower case with white space runs as one blank; positions are reported in code
 points of the text as it stands. Items go to the workers in blocks of at most `block_chars` characters, one
@@ -25,6 +27,8 @@ from pyspark.sql import functions as F
 
 from ._common import arrow_map
 
+GRAM = 6
+
 _BUILT: dict = {}
 
 
@@ -37,6 +41,11 @@ def normalise(text: str | None) -> str:
     return " ".join(low.split())
 
 
+def grams(text: str) -> set[str]:
+    """The distinct strings of GRAM characters in text."""
+    return {text[i : i + GRAM] for i in range(len(text) - GRAM + 1)}
+
+
 def offsets(text: str) -> list[tuple[int, int]]:
     """(start in the normalised text, start in the text) of each word."""
     out, at = [], 0
@@ -96,7 +105,7 @@ class Matcher:
                 continue
             k = int(budget * len(norm) + 1e-9)
             cuts = [len(norm) * i // (k + 1) for i in range(k + 2)]
-            self.items.append((item_id, norm, k))
+            self.items.append((item_id, norm, k, grams(norm)))
             for a, b in zip(cuts, cuts[1:], strict=False):
                 pieces.setdefault(norm[a:b], []).append((len(self.items) - 1, b))
         self.automaton = ahocorasick.Automaton()
@@ -122,7 +131,8 @@ class Matcher:
             return []
         out = []
         for i, diagonals in hits.items():
-            item_id, item, k = self.items[i]
+            item_id, item, k, parts = self.items[i]
+            least = len(parts) - k * GRAM
             group: list[int] = []
             for d in [*sorted(set(diagonals)), None]:
                 if d is not None and (not group or d - group[-1] <= 2 * k + 1):
@@ -135,7 +145,8 @@ class Matcher:
                         got = (0, same, same + len(item))
                     else:
                         base = max(0, window[0] - k)
-                        got = nearest(item, norm[base : window[-1] + len(item) + k], k)
+                        place = norm[base : window[-1] + len(item) + k]
+                        got = nearest(item, place, k) if least <= 0 or len(parts & grams(place)) >= least else None
                         got = got and (got[0], got[1] + base, got[2] + base)
                     if got:
                         out.append((item_id, got[1], got[2], got[0]))
@@ -178,7 +189,7 @@ def _matcher(key: tuple, items: list[tuple], budget: float) -> Matcher:
     return _BUILT[key]
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, budget: float = 0.06, block_chars: int = 2_000_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def find_leaks(docs: DataFrame, items: DataFrame, budget: float = 0.1, block_chars: int = 2_000_000, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """doc_id, item_id, start, end, distance: a row for each place of a document that holds a test item."""
     schema, out = "doc_id long, item_id long, start long, end long, distance int", None
     source = docs.select(F.col(doc_id).cast("long"), F.col(text))
@@ -195,7 +206,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, budget: float = 0.06, block_ch
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, budget: float = 0.06, block_chars: int = 2_000_000, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def decontaminate(docs: DataFrame, items: DataFrame, budget: float = 0.1, block_chars: int = 2_000_000, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs without the rows whose text holds a test item; no shuffle."""
     where = docs.columns.index(text)
     for block in _blocks(items, block_chars, item_id, item_text):

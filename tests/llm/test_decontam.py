@@ -70,6 +70,20 @@ def test_item_that_repeats_itself_at_the_start_of_a_text():
         assert got[3] == distance(norm, decontam.normalise(text)) and distance(norm, decontam.normalise(text[got[1] : got[2]])) == got[3]
 
 
+def test_passages_with_up_to_a_tenth_of_edits(spark):
+    rng = random.Random(11)
+    items = [(i, " ".join("".join(rng.choice("aeioustrn") for _ in range(rng.randint(2, 8))) for _ in range(rng.randint(12, 50)))) for i in range(20)]
+    docs = []
+    for i, s in items:
+        s = list(s)
+        for _ in range(int(0.1 * len(s))):
+            s[rng.randrange(len(s))] = "q"
+        docs.append((i, "so they say " + "".join(s) + " and more"))
+    df, bench = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.find_leaks(df, bench).collect()) == [(i, i) for i, _ in items]
+    assert decontam.decontaminate(df, bench).count() == 0
+
+
 def test_empty_tables(spark):
     none, some = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     items = spark.createDataFrame([(1, "a")], "item_id long, text string")
