@@ -5,7 +5,7 @@ the longest rule (host and path together, then its host) that fits decides. Wher
 over the edges between hosts that pages link, personalised PageRank carries trust from the hosts of allowed
 pages forwards, and distrust from the hosts of blocked pages backwards, to those who link them. Both start
 from a host's share of all pages that rules decide, so they compare. A host is blocked where its distrust is
-above zero and at least `ratio` times its trust; a host that neither reaches is allowed.
+above zero and at least `ratio` times its trust; a host that neither reaches is allowed. Rounds go on until ranks settle.
 
 Everything is DataFrame functions. Ranks are tables by host, written after every few rounds; pages are joined
 once, by host, with what is known of it.
@@ -56,15 +56,26 @@ def link_edges(pages: DataFrame, url: str = "url", html: str = "html") -> DataFr
     return links.select("src", dst.alias("dst")).where("src <> dst and src <> '' and dst <> ''").groupBy("src", "dst").agg(F.count("*").alias("weight"))
 
 
-def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, cut_every: int = 4) -> DataFrame:
-    """host, rank after rounds of personalised PageRank from seeds (host, seed) along edges (src, dst, share)."""
-    rank = seeds.select("host", F.col("seed").alias("rank"))
-    for k in range(rounds):
+def propagate(edges: DataFrame, seeds: DataFrame, damping: float = 0.85, rounds: int = 12, cut_every: int = 4, tolerance: float = 1e-6) -> DataFrame:
+    """host, rank of personalised PageRank from seeds (host, seed) along edges (src, dst, share).
+
+    After `rounds` rounds at least, it ends when over cut_every rounds no further host was reached and all ranks
+    together changed by less than tolerance.
+    """
+    rank, last, k = seeds.select("host", F.col("seed").alias("rank")), None, 0
+    while True:
         moved = edges.join(rank, F.col("src") == F.col("host")).groupBy("dst").agg(F.sum(F.col("rank") * F.col("share")).alias("in"))
         rank = moved.select(F.col("dst").alias("host"), (damping * F.col("in")).alias("rank")).unionByName(seeds.select("host", ((1 - damping) * F.col("seed")).alias("rank"))).groupBy("host").agg(F.sum("rank").alias("rank"))
-        if k % cut_every == cut_every - 1 and k < rounds - 1:
+        k += 1
+        if k % cut_every == 0:
             rank = materialise(rank, "ranks")
-    return rank
+            if last is not None and k >= rounds:
+                both = rank.join(last.withColumnRenamed("rank", "was"), "host", "full_outer")
+                # hosts of seeds or once reached keep a row, so a new one shows as a missing former rank
+                new, change = both.agg(F.count_if(F.col("was").isNull()), F.sum(F.abs(F.coalesce("rank", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()
+                if not new and (change or 0.0) < tolerance:
+                    return rank
+            last = rank
 
 
 def judge(pages: DataFrame, rules: DataFrame, ratio: float = 2.0, damping: float = 0.85, rounds: int = 12, broadcast_rules: int = 20_000, page_id: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:

@@ -38,6 +38,15 @@ def test_propagation(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_propagation_reaches_hosts_far_from_seeds(spark):
+    hosts = ["bad.com", *(f"farm{i}.net" for i in range(1, 16))]
+    rows = [(0, "http://bad.com/de/", "")] + [(i, f"http://{h}/", f'<a href="http://{hosts[i - 1]}/">') for i, h in enumerate(hosts) if i]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r for r in urlgraph.judge(pages, urlgraph.rules_table(spark, RULES)).collect()}
+    assert {r.verdict for r in got.values()} == {"block"}
+    assert abs(got[15].distrust - 0.15 * 0.85**15) < 1e-9
+
+
 def test_empty(spark):
     none = spark.createDataFrame([], "page_id long, url string, html string")
     assert urlgraph.judge(none, urlgraph.rules_table(spark, RULES)).count() == 0
