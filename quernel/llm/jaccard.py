@@ -20,7 +20,8 @@ gives each document only the partner that could share most with it among those n
 gives all pairs that are left. Bits of more than `hot` documents are left out for those documents that have
 `least` other bits, and dealt out in blocks of `block` documents of like size, pair of blocks by pair of blocks.
 Two linked documents share none of their least `least` bits with a chance of about (1 - percent / 100)^least,
-6e-12 as set here.
+6e-12 as set here; where all they share are bits left out, a document with 20 % of its own goes by its own bits alone
+with a chance of about 2e-6 (16 of 25), and then only the leader comparison may link it.
 
 Defined results: null text and text without words: 0 shingles, component is the document itself; a null
 doc_id gets a null component and takes no part; a repeated row gets the same result each time (an id names
