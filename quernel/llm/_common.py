@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -17,22 +18,60 @@ CHUNK_BYTES = 8 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        folder = f"file://{tempfile.gettempdir()}/quernel-shared"
+    """The folder that driver and executors share: spark.checkpoint.dir, or the warehouse where that is unset."""
+    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or f"{spark.conf.get('spark.sql.warehouse.dir')}/quernel-work"
     return folder.rstrip("/")
 
 
+def _path(spark: SparkSession, path: str):
+    """The Hadoop file system of path, and path in it."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as Parquet into the shared folder and reads it back, which cuts its lineage."""
+    """Writes df as Parquet into the shared folder and reads it back, which cuts its lineage.
+
+    The table goes with `drop`, at the latest when the session's JVM ends.
+    """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/quernel-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    top = f"{shared_dir(spark)}/quernel-{uuid.uuid4().hex}"
+    df.write.parquet(f"{top}/{name}")
+    fs, at = _path(spark, top)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(f"{top}/{name}")
+    out._quernel_top = top
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes work tables that nothing reads any more; shuffle files of finished jobs go with the collection that follows."""
+    for df in tables:
+        fs, at = _path(df.sparkSession, df._quernel_top)
+        fs.delete(at, True)
+    if tables:
+        gc.collect()  # lets go of the plans that Python still holds
+        tables[0].sparkSession._jvm.System.gc()
+
+
+def measured(df: DataFrame, name: str, **sums) -> tuple[DataFrame, dict]:
+    """materialise, with aggregates of what is written that need no job of their own."""
+    seen = Observation()
+    out = materialise(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in sums.items()]), name)
+    return out, seen.get
+
+
+def lookup(rows: DataFrame, table: DataFrame, on: str, weight: str, how: str = "inner") -> DataFrame:
+    """rows joined by `on` with table, which has one row a key and in `weight` about how many of rows that key has.
+
+    Keys of more than a thousandth of all rows, fewer than a thousand in all whatever the size, are broadcast, so their
+    rows stay where they are; the others meet by a shuffle. Both inputs should be written tables, they are read twice.
+    """
+    total = table.agg(F.sum(weight)).first()[0] or 0
+    hot = F.col(weight) > max(total / 1000, 1000)
+    few, rest = table.where(hot), table.where(~hot)
+    there = rows.join(F.broadcast(few), on)
+    return there.unionByName(rows.join(F.broadcast(few.select(on)), on, "left_anti").join(rest, on, how).select(*there.columns))
 
 
 def arrow_map(df: DataFrame, fn: Callable[[pa.Table], Iterator[pa.Table]], schema: str | StructType) -> DataFrame:
@@ -52,32 +91,36 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.Table], Iterator[pa.Table]], schem
     return df.mapInArrow(run, schema)
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
-    """(node, component) of every node of the undirected edges; component is the smallest node reachable.
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, component) of every node of the undirected edges, written; component is the smallest node reachable.
 
-    Large-star and small-star rounds (alternating), each a group with a map-side minimum and a join; a
-    hot node's neighbours are never gathered. Work tables are cut after each round. Stops when the edge
-    set no longer changes (compared by count and by two order-free sums).
+    Large-star and small-star rounds, alternating, to the fixed point: each a minimum by node with map-side combining
+    and a join. A node with more than a thousandth of all edges takes part by a broadcast of its minimum (fewer than
+    a thousand such nodes), so its neighbours never meet in one task. The edges are written after each round; two
+    order-free sums tell whether they changed.
     """
+    sums = {"x": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), "y": F.sum(F.col("u").cast("decimal(38,0)"))}
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    e = materialise(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-    before = None
-    for _ in range(max_rounds):
+    e, before = measured(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", **sums)
+    while before["n"]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = large.where("u <> v").distinct()
-        low = e.groupBy("u").agg(F.min("v").alias("m"))
-        small = e.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        e = materialise(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
-        now = e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.sum(F.col("u").cast("decimal(38,0)"))).first()
+        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
+        hot = F.col("c") > max(before["n"] / 500, 1000)
+        few = F.broadcast(low.where(hot).select("u", "m"))
+        large = both.where("v > u").join(few, "u").unionByName(both.where("v > u").join(few, "u", "left_anti").join(low.where(~hot).select("u", "m"), "u"))
+        # every edge now leads from a node to a smaller one; by the upper end, few edges each
+        e2 = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").repartition("u").dropDuplicates(["u", "v"])
+        low = e2.groupBy("u").agg(F.min("v").alias("m"))
+        small = e2.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
+        new, now = measured(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", **sums)
+        drop(e)
+        e = new
         if now == before:
             break
         before = now
-    else:
-        raise RuntimeError("components did not settle")
-    roots = e.select(F.col("v").alias("node")).distinct()
-    return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    out = materialise(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
+    drop(e)
+    return out
 
 
 def groups(batches, keys: list[str]) -> Iterator[pa.Table]:
@@ -125,15 +168,19 @@ def _places(v: np.ndarray, bits: int):
         yield mix64(v * np.uint64(salt)) >> np.uint64(64 - bits)
 
 
+def field_bits(n: int) -> int:
+    """The size of a field for n rows: sixteen bits a row, 2^16 to 2^30 in all (128 MB); a fuller field costs work only."""
+    return min(30, max(16, 4 + max(1, n).bit_length()))
+
+
 def bit_field(values: DataFrame, columns: list[str], bits: int) -> np.ndarray:
     """A field of 2^bits bits with two set for each row of longs.
 
-    Tasks OR their rows into a field and emit it in pieces, which are OR-ed by piece; 2^bits / 8 bytes reach the
-    driver, whatever the number of rows. A false hit must cost work only, so an exact join has to follow.
+    Tasks OR their rows into a field and emit it in pieces of 64 KB; these are OR-ed in two levels, the first of 512
+    tasks each, so no task holds more than some ten MB a level; 2^bits / 8 bytes reach the driver, whatever the number
+    of rows. A false hit must cost work only, so an exact join has to follow.
     """
-    import pandas as pd
-
-    piece = 1 << 16
+    piece, fan = 1 << 16, 512
 
     def partial(batches):
         field, seen = np.zeros(1 << bits >> 3, np.uint8), False
@@ -141,16 +188,19 @@ def bit_field(values: DataFrame, columns: list[str], bits: int) -> np.ndarray:
             for at in _places(joint(*(c.to_numpy(zero_copy_only=False) for c in b.columns)), bits):
                 np.bitwise_or.at(field, at >> np.uint64(3), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
             seen = seen or b.num_rows > 0
-        rows = [(i, field[i * piece : (i + 1) * piece]) for i in range(-(-len(field) // piece))] if seen else []
-        rows = [(i, x.tobytes()) for i, x in rows if x.any()]
-        yield pa.record_batch({"i": pa.array([r[0] for r in rows], pa.int32()), "x": pa.array([r[1] for r in rows], pa.binary())})
-
-    def united(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.bitwise_or.reduce([np.frombuffer(v, np.uint8) for v in pdf["x"]])
-        return pd.DataFrame({"i": pdf["i"][:1], "x": [x.tobytes()]})
-
-    out = np.zeros(1 << bits >> 3, np.uint8)
-    for r in values.select(*columns).mapInArrow(partial, "i int, x binary").groupBy("i").applyInPandas(united, "i int, x binary").collect():
+        slot = TaskContext.get().partitionId() // fan
+        for i in range(-(-len(field) // piece)) if seen else ():
+            x = field[i * piece : (i + 1) * piece]
+            if x.any():
+                yield pa.record_batch({"i": pa.array([i], pa.int32()), "slot": pa.array([slot], pa.int32()), "x": pa.array([x.tobytes()], pa.binary())})
+
+    def united(t: pa.Table) -> pa.Table:
+        x = np.bitwise_or.reduce([np.frombuffer(v.as_buffer(), np.uint8) for v in t.column("x")])
+        return pa.table({"i": t.column("i").slice(0, 1), "slot": t.column("slot").slice(0, 1), "x": pa.array([x.tobytes()], pa.binary())})
+
+    schema, out = "i int, slot int, x binary", np.zeros(1 << bits >> 3, np.uint8)
+    level = values.select(*columns).mapInArrow(partial, schema).groupBy("i", "slot").applyInArrow(united, schema)
+    for r in level.groupBy("i").applyInArrow(united, schema).toLocalIterator():
         out[r["i"] * piece : r["i"] * piece + len(r["x"])] = np.frombuffer(r["x"], np.uint8)
     return out
 

@@ -5,28 +5,31 @@ n-word shingles as 64-bit hashes (with fewer words, the whole sequence as one; w
 links with nothing). Two documents link when 100 |A and B| >= percent |A or B|. The result is the classes of
 documents that links connect.
 
-Copies (equal sets) fold into one representative first. The tree above the leaves is spread over the cluster
-by routing bits: a document hangs under its least shingle hashes (all, if it has no more than `k`), so two
-nodes under different bits have no token in common there and their pair is pruned without being formed. Below
-a routing bit stands a signature tree: leaves are documents with a token bitmap of eight to sixteen bits a
-shingle, inner nodes the OR of their children's bitmaps with their range of sizes, and the dual traversal drops a
-pair of nodes when the most shingles that members could share (common bits plus collisions), or their sizes,
-rule a link out, or when all members are known to be connected. What remains is verified on the exact sets. A
-pair is formed only under the least bit that both have.
-
-Large classes stay cheap by rounds. First, under each bit all documents are compared with one leader only, so
-a group of n near copies costs n comparisons and then counts as connected. Then, `nearest` times, the traversal
-gives each document only the partner that could share most with it among those not yet connected; at last it
-gives all pairs that are left. Bits of more than `hot` documents are left out for those documents that have
-`least` other bits, and dealt out in blocks of `block` documents of like size, pair of blocks by pair of blocks.
-Two linked documents share none of their least `least` bits with a chance of about (1 - percent / 100)^least,
-6e-12 as set here; where all they share are bits left out, a document with 20 % of its own goes by its own bits alone
-with a chance of about 2e-6 (16 of 25), and then only the leader comparison may link it.
+Copies (equal sets) fold into one node first, known by the 64-bit key of one of its texts. The tree above the
+leaves is spread over the cluster by routing bits: a node hangs under its least shingle hashes (all, if it has no
+more than `k`), so two nodes under different bits have no token in common there and their pair is pruned without
+being formed. Below a routing bit stands a signature tree: leaves are nodes with a token bitmap of eight to sixteen
+bits a shingle, inner nodes the OR of their children's bitmaps with their range of sizes, and the dual traversal
+drops a pair of nodes when the most shingles that members could share (common bits plus collisions), or their sizes,
+rule a link out, or when all members are known to be connected. What remains is verified on the exact sets: of the two
+ends of a pair the one with more pairs is the hub, the texts of the others pass by its set, which is made once a task.
+A pair is formed only under the least bit that both have.
+
+Large classes stay cheap by rounds. First, under each bit all nodes are compared with one leader only, so a group of n
+near copies costs n comparisons and then counts as connected. Then the traversal gives each node only the partner
+that could share most with it among those not yet connected, again as long as half of such pairs prove to be links; at
+last it gives all pairs that are left. No pair is verified twice. Bits of more than `hot` nodes are left out for those
+nodes that have `least` other bits, and large bits are dealt out in blocks of `block` nodes of like size, pair of
+blocks by pair of blocks. Two linked nodes share none of their least `least` bits with a chance of about
+(1 - percent / 100)^least, 1e-14 as set here; where all they share are bits left out, a node with 20 % of its own goes
+by its own bits alone with a chance of about 2e-10 (20 of 25), and then only the leader comparison may link it. With
+`exact` no chance is left: a node of n shingles hangs under its n - ceil(percent n / 100) + 1 least hashes, no bit is
+left out, and any two linked nodes share one of these (the prefix principle); it costs rows in proportion.
 
 Defined results: null text and text without words: 0 shingles, component is the document itself; a null
-doc_id gets a null component and takes no part; a repeated row gets the same result each time (an id names
-one text; of several texts under one id the least is compared); an empty table gives an empty result; further
-columns are not looked at.
+doc_id gets a null component and takes no part; a repeated row gets the same result each time; texts that share an
+id are compared each for itself; an empty table gives an empty result; further columns are not looked at; texts of
+any length are taken whole.
 """
 
 from __future__ import annotations
@@ -36,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, bit_field, components, groups, held, joint, materialise
+from ._common import arrow_map, bit_field, components, drop, field_bits, groups, held, joint, lookup, materialise, measured, mix64 as _mix
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -48,13 +51,6 @@ _LOWER[65:91] += 32
 _POWERS: list[np.ndarray] = []
 
 
-def _mix(z: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers (splitmix64)."""
-    z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return z ^ (z >> np.uint64(31))
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, n of each at least."""
     if not _POWERS or len(_POWERS[0]) < n:
@@ -92,7 +88,7 @@ def shingles(text: str | None, n: int = 5) -> np.ndarray:
 def _digest(s: np.ndarray) -> int:
     """A 64-bit hash of a set of shingles, 0 for the empty one."""
     both = np.array([int(np.bitwise_xor.reduce(_mix(s * _BASE))) ^ int(s.sum(dtype=np.uint64))] if len(s) else [], np.uint64)
-    return int(_mix(both).view(np.int64)[0]) if len(s) else 0
+    return int(_mix(both + np.uint64(len(s))).view(np.int64)[0]) if len(s) else 0
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
@@ -196,105 +192,151 @@ def _least_common(bits: np.ndarray, p: np.ndarray, bit: int, chunk: int = 1 << 1
     return ok
 
 
-def _described(docs: DataFrame, ngram: int, k: int, doc_id: str, text: str) -> DataFrame:
-    def go(t: pa.Table):
-        sets = [shingles(s, ngram) for s in t.column(1).to_pylist()]
-        yield pa.table({
-            "doc_id": t.column(0), "n": pa.array([len(s) for s in sets], pa.int64()),
-            "digest": pa.array([_digest(s) for s in sets], pa.int64()),
-            "bits": pa.array([s[:k].view(np.int64) for s in sets], pa.list_(pa.int64())), "sig": pa.array([bitmap(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
-        })
-
-    return arrow_map(docs.select(F.col(doc_id).cast("long"), F.col(text)), go, "doc_id long, n long, digest long, bits array<long>, sig binary")
-
+def _prefix(n: int, percent: int) -> int:
+    return n - -(-percent * n // 100) + 1
 
-def _verified(docs: DataFrame, pairs: DataFrame, ngram: int, percent: int, doc_id: str, text: str, field_bits: int) -> DataFrame:
-    """The pairs (a, b) of ids that link, by their exact sets; only texts of these ids are turned into sets and shuffled."""
-    ids = pairs.select(F.col("a").alias("i")).unionByName(pairs.select(F.col("b").alias("i"))).distinct()
-    field = docs.sparkSession.sparkContext.broadcast(bit_field(ids, ["i"], field_bits))
 
-    def wanted(t: pa.Table):
-        i = t.column(0).fill_null(-1).to_numpy()
-        k = np.flatnonzero(held(field.value, joint(i), field_bits))
-        yield pa.table({"i": pa.array(i[k]), "s": pa.array([shingles(t.column(1)[int(x)].as_py(), ngram).tobytes() for x in k], pa.binary())})
+def _key(text: str):
+    """A 64-bit key of a text."""
+    return F.xxhash64(F.col(text), F.octet_length(text))
 
-    # rows that repeat an id stand for one text
-    sets = materialise(arrow_map(docs.select(F.col(doc_id).cast("long"), F.col(text)), wanted, "i long, s binary").dropDuplicates(["i"]).join(ids, "i", "left_semi"), "sets")
-    rows = pairs.join(sets.select(F.col("i").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("i").alias("b"), F.col("s").alias("sb")), "b").select("a", "b", "sa", "sb")
 
+def _described(docs: DataFrame, ngram: int, percent: int, k: int, exact: bool, doc_id: str, text: str) -> DataFrame:
     def go(t: pa.Table):
-        out = []
-        for a, b, sa, sb in zip(*t.columns, strict=True):
-            sa, sb = (np.frombuffer(x.as_buffer(), np.uint64) for x in (sa, sb))
-            both = len(np.intersect1d(sa, sb, assume_unique=True))
-            if both and 100 * both >= percent * (len(sa) + len(sb) - both):
-                out.append((a.as_py(), b.as_py()))
-        yield pa.table([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], ["a", "b"])
+        sets = [shingles(s, ngram) for s in t.column(2).to_pylist()]
+        bits = [s[: _prefix(len(s), percent) if exact else k] for s in sets]
+        yield pa.table({
+            "doc_id": t.column(0), "key": t.column(1), "n": pa.array([len(s) for s in sets], pa.int64()), "digest": pa.array([_digest(s) for s in sets], pa.int64()),
+            "bits": pa.array([s.view(np.int64) for s in bits], pa.list_(pa.int64())), "sig": pa.array([bitmap(s).tobytes() if len(s) else b"" for s in sets], pa.binary()),
+        })
+
+    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), _key(text).alias("key"), F.col(text).alias("t"))
+    return arrow_map(rows, go, "doc_id long, key long, n long, digest long, bits array<long>, sig binary")
 
-    return arrow_map(rows, go, "a long, b long")
 
+def _verified(docs: DataFrame, pairs: DataFrame, ngram: int, percent: int, text: str, block: int) -> DataFrame:
+    """The pairs (a, b) of text keys that link, by their exact sets, written; only texts with these keys are shuffled."""
+    ends = pairs.select(F.col("a").alias("end")).unionByName(pairs.select(F.col("b").alias("end")))
+    degree, seen = measured(ends.groupBy("end").agg(F.count("*").alias("pairs")), "degree")
+    both = lookup(lookup(pairs, degree.select(F.col("end").alias("a"), F.col("pairs").alias("pa")), "a", "pa"), degree.select(F.col("end").alias("b"), F.col("pairs").alias("pb")), "b", "pb")
+    up = (F.col("pa") > F.col("pb")) | ((F.col("pa") == F.col("pb")) & (F.col("a") < F.col("b")))
+    hubs = both.select(F.when(up, F.col("a")).otherwise(F.col("b")).alias("hub"), F.when(up, F.col("b")).otherwise(F.col("a")).alias("key"), F.ceil(F.greatest("pa", "pb") / block).alias("parts"))
+    part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    # the hub comes first in each of its parts
+    hubs = materialise(hubs.select("key", "hub", part.alias("part"), F.lit(1).alias("role")).unionByName(hubs.select(F.col("hub").alias("key"), "hub", part.alias("part"), F.lit(0).alias("role")).distinct()), "hubs")
+    bits = field_bits(seen["n"])
+    field = docs.sparkSession.sparkContext.broadcast(bit_field(degree, ["end"], bits))
 
-def cluster(docs: DataFrame, percent: int = 80, ngram: int = 5, k: int = 25, least: int = 16, hot: int = 256, block: int = 2048, nearest: int = 2, field_bits: int = 26, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    def wanted(t: pa.Table):
+        yield t.filter(pa.array(held(field.value, joint(t.column(0).to_numpy()), bits)))
+
+    texts = arrow_map(docs.where(F.col(text).isNotNull()).select(_key(text).alias("key"), F.col(text).alias("t")), wanted, "key long, t string")
+    rows = hubs.join(texts.groupBy("key").agg(F.first("t").alias("t")), "key").select("hub", "part", "role", "key", "t")
+
+    def go(batches):
+        at, hub = None, None
+        for b in batches:
+            out = []
+            for h, part, role, key, t in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                s = shingles(t, ngram)
+                if role == 0:
+                    at, hub = (h, part), s
+                elif at == (h, part):
+                    both = len(np.intersect1d(hub, s, assume_unique=True))
+                    if both and 100 * both >= percent * (len(hub) + len(s) - both):
+                        out.append((min(h, key), max(h, key)))
+            yield pa.record_batch({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    links = materialise(rows.repartition("hub", "part").sortWithinPartitions("hub", "part", "role").mapInArrow(go, "a long, b long"), "links")
+    field.unpersist()
+    drop(degree, hubs)
+    return links
+
+
+def cluster(docs: DataFrame, percent: int = 80, ngram: int = 5, k: int = 25, least: int = 20, hot: int = 256, block: int = 2048, exact: bool = False, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs."""
-    described = materialise(_described(docs, ngram, k, doc_id, text), "described")
+    described = materialise(_described(docs, ngram, percent, k, exact, doc_id, text), "described")
+    # equal sets are one node, named by the least key of its texts
     full = described.where("n > 0 and doc_id is not null")
-    # a set is known by its digest and size
-    reps = full.groupBy("digest", "n").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("bits", "sig"), "doc_id").alias("x"))
-    reps = materialise(reps.select("rep", "digest", "n", "x.bits", "x.sig"), "representatives")
-    under = reps.select("rep", "n", F.explode("bits").alias("bit"))
-    members = materialise(under.join(under.groupBy("bit").agg(F.count("*").alias("members")).where("members > 1"), "bit"), "members")
-    verify = lambda pairs, name: materialise(_verified(docs, materialise(pairs, name), ngram, percent, doc_id, text, field_bits), "links")
-    # leaders: a document's is the one it shares most bits with
-    heads = members.groupBy("bit").agg(F.min_by("rep", F.xxhash64("rep")).alias("leader"))
-    votes = members.join(heads, "bit").where("rep <> leader").groupBy("rep", "leader").agg(F.count("*").alias("votes"), F.min("n").alias("n"))
-    stars = votes.where(F.col("votes") >= F.least(F.col("n"), F.lit(k)) * 0.3).groupBy("rep").agg(F.max_by("leader", F.struct("votes", "leader")).alias("b")).select(F.col("rep").alias("a"), "b")
-    links = verify(stars, "stars")
+    nodes = full.groupBy("digest").agg(F.min("key").alias("node"), F.min("doc_id").alias("first"), F.count("*").alias("copies"), F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("sig").alias("sig"))
+    nodes = materialise(nodes, "nodes")
+    slim = materialise(described.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("digest")).alias("digest")), "slim")
+    drop(described)
+    under = nodes.select("node", "n", F.explode("bits").alias("bit"))
+    by_bit = materialise(under.groupBy("bit").agg(F.count("*").alias("members"), F.min_by("node", F.xxhash64("node")).alias("leader")).where("members > 1"), "bits")
+    members = materialise(lookup(under, by_bit, "bit", "members"), "members")
+    drop(by_bit)
+    # leaders: a node's is the one it shares most bits with
+    votes = members.where("node <> leader").groupBy("node", "leader").agg(F.count("*").alias("votes"), F.min("n").alias("n"))
+    stars = votes.where(F.col("votes") >= F.least(F.col("n"), F.lit(k)) * 0.3).groupBy("node").agg(F.max_by("leader", F.struct("votes", "leader")).alias("leader"))
+    tried = materialise(stars.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct(), "pairs")
+    links = _verified(docs, tried, ngram, percent, text, block)
     # the bits that the traversal uses
-    common = members.where(F.col("members") > hot).groupBy("rep").agg(F.collect_list("bit").alias("hot_bits"))
+    common = members.where(F.lit(not exact) & (F.col("members") > hot)).groupBy("node").agg(F.collect_list("bit").alias("hot_bits"))
     rest = F.array_except("bits", F.coalesce("hot_bits", F.array().cast("array<bigint>")))
-    routed = reps.join(common, "rep", "left").select("rep", "n", "sig", F.array_sort(F.when(F.size(rest) >= least, F.slice(rest, 1, least)).otherwise(F.col("bits"))).alias("bits"))
-    routed = materialise(routed, "routed")
-    leaves = materialise(routed.select("rep", "n", F.explode("bits").alias("bit")).join(members.select("bit").distinct(), "bit", "left_semi"), "leaves")
-    for turn in range(nearest + 1):
-        comp = components(links)
-        own = leaves.join(comp, leaves["rep"] == comp["node"], "left").select("bit", "rep", "n", F.coalesce("component", "rep").alias("comp"))
-        mixed = own.groupBy("bit").agg(F.min("comp").alias("c1"), F.max("comp").alias("c2")).where("c1 <> c2").select("bit")
-        found = _candidates(own.join(mixed, "bit", "left_semi"), routed.select("rep", "sig", "bits"), percent, block, best=turn < nearest)
-        links = materialise(links.unionByName(verify(found, "candidates")), "links")
-    comp = components(links)
-    # classes of copies and links between representatives, back to documents
-    final = reps.join(comp, reps["rep"] == comp["node"], "left").select("digest", "n", F.coalesce("component", "rep").alias("component_id"))
-    out = described.select("doc_id", "n", "digest").join(final, ["digest", "n"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
-
-
-def _candidates(left: DataFrame, routed: DataFrame, percent: int, block: int, best: bool) -> DataFrame:
-    """Pairs (a, b) that the dual traversal leaves; left: bit, rep, n, comp; best: for each document under a bit only the likeliest."""
+    used = F.col("bits") if exact else F.array_sort(F.when(F.size(rest) >= least, F.slice(rest, 1, least)).otherwise(F.col("bits")))
+    routed = materialise(nodes.join(common, "node", "left").select("node", "n", "sig", used.alias("bits")), "routed")
+    names = materialise(nodes.select("node", "digest", "first", "copies"), "names")
+    drop(nodes)
+    leaves = materialise(members.join(routed.select("node", F.explode("bits").alias("bit")), ["node", "bit"], "left_semi").select("node", "n", "bit"), "leaves")
+    drop(members)
+    comp, best = components(links), True
+    while True:
+        left = materialise(leaves.join(comp, "node", "left").select("bit", "node", "n", F.coalesce("component", "node").alias("comp")), "left")
+        found, sizes = _candidates(left, routed, percent, block, best)
+        found, seen = measured(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+        drop(left, sizes)
+        if seen["n"]:
+            more = _verified(docs, found, ngram, percent, text, block)
+            new = more.count()
+            if new:
+                old, comp = comp, components(more.unionByName(comp.select(F.col("node").alias("a"), F.col("component").alias("b"))))
+                drop(old)
+            both = materialise(tried.unionByName(found), "pairs") if best else tried
+            drop(more, found, *([tried] if best else []))
+            tried = both
+        if not best:
+            break
+        best = bool(seen["n"]) and 2 * new >= seen["n"]
+    # classes of copies and links between nodes, back to documents
+    classed = materialise(names.join(comp, "node", "left").select("digest", "first", "copies", F.coalesce("component", "node").alias("class")), "classed")
+    least_id = materialise(classed.groupBy("class").agg(F.min("first").alias("component"), F.count("*").alias("members")), "least")
+    final = materialise(lookup(classed, least_id, "class", "members").select("digest", "copies", "component"), "final")
+    out = lookup(slim, final, "digest", "copies", "left")
+    out = materialise(out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id")), "classes")
+    drop(slim, names, links, tried, routed, leaves, comp, classed, least_id, final)
+    return out
+
+
+def _candidates(left: DataFrame, routed: DataFrame, percent: int, block: int, best: bool) -> tuple[DataFrame, DataFrame]:
+    """Pairs (a, b) that the dual traversal leaves, and the work table it reads besides; left: bit, node, n, comp; best: for
+    each node under a bit only the likeliest."""
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
-    here = materialise(left.select("bit", "rep", "n", "comp", size_class.alias("cls")), "left")
+    here = left.withColumn("cls", size_class)
+    # how many nodes of each size class a bit has, where not all of them are connected yet
+    per = here.groupBy("bit", "cls").agg(F.count("*").alias("m"), F.min("comp").alias("c1"), F.max("comp").alias("c2"))
+    per = per.groupBy("bit").agg(F.sum("m").alias("total"), F.min("c1").alias("c1"), F.max("c2").alias("c2"), F.map_from_entries(F.collect_list(F.struct("cls", "m"))).alias("sizes")).where("c1 <> c2")
+    per = materialise(per.select("bit", "total", "sizes"), "sizes")
     # a task is (bit, part): small bits whole; large ones by pairs of blocks of near sizes
-    per = here.groupBy("bit", "cls").agg(F.count("*").alias("m"))
-    total = per.groupBy("bit").agg(F.sum("m").alias("total"))
-    small = here.join(total.where(F.col("total") <= block), "bit").select("bit", F.lit("").alias("part"), F.lit(0).alias("side"), "rep", "n", "comp")
-    big = per.join(total.where(F.col("total") > block), "bit").withColumn("blocks", F.ceil(F.col("m") / block).cast("int"))
-    # whom the blocks of a class meet: their own class's blocks and those of the next
-    nxt = big.select("bit", (F.col("cls") - 1).alias("cls"), F.col("blocks").alias("next_blocks"))
-    prv = big.select("bit", (F.col("cls") + 1).alias("cls"), F.col("blocks").alias("prev_blocks"))
-    rows = here.join(big.select("bit", "cls", "blocks"), ["bit", "cls"]).join(nxt, ["bit", "cls"], "left").join(prv, ["bit", "cls"], "left").withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    rows = lookup(here, per, "bit", "total")
+    blocks = lambda c: F.coalesce(F.ceil(F.element_at("sizes", c) / block).cast("int"), F.lit(0))
+    mine = F.pmod(F.xxhash64("node"), blocks(F.col("cls"))).cast("int")
     series = lambda c: F.when(c > 0, F.sequence(F.lit(0), c - 1)).otherwise(F.array().cast("array<int>"))
     name = lambda c, i, d, j: F.concat_ws(":", c, i, d, j)
-    within = F.transform(series(F.col("blocks")), lambda o: F.struct(name(F.col("cls"), F.least(F.col("mine"), o), F.col("cls"), F.greatest(F.col("mine"), o)).alias("part"), F.when(F.col("mine") <= o, 0).otherwise(1).alias("side")))
-    up = F.transform(series(F.coalesce("next_blocks", F.lit(0))), lambda o: F.struct(name(F.col("cls"), F.col("mine"), F.col("cls") + 1, o).alias("part"), F.lit(0).alias("side")))
-    down = F.transform(series(F.coalesce("prev_blocks", F.lit(0))), lambda o: F.struct(name(F.col("cls") - 1, o, F.col("cls"), F.col("mine")).alias("part"), F.lit(1).alias("side")))
-    large = rows.select("bit", "rep", "n", "comp", F.explode(F.concat(within, up, down)).alias("x")).select("bit", "x.part", "x.side", "rep", "n", "comp")
-    tasks = small.unionByName(large).withColumn("task", F.xxhash64("bit", "part")).join(routed, "rep")
-    tasks = tasks.repartition("task").sortWithinPartitions("task", "bit", "part")
+    within = F.transform(series(blocks(F.col("cls"))), lambda o: F.struct(name(F.col("cls"), F.least(mine, o), F.col("cls"), F.greatest(mine, o)).alias("part"), F.when(mine <= o, 0).otherwise(1).alias("side")))
+    up = F.transform(series(blocks(F.col("cls") + 1)), lambda o: F.struct(name(F.col("cls"), mine, F.col("cls") + 1, o).alias("part"), F.lit(0).alias("side")))
+    down = F.transform(series(blocks(F.col("cls") - 1)), lambda o: F.struct(name(F.col("cls") - 1, o, F.col("cls"), mine).alias("part"), F.lit(1).alias("side")))
+    whole = F.array(F.struct(F.lit("").alias("part"), F.lit(0).alias("side")))
+    parts = F.when(F.col("total") <= block, whole).otherwise(F.concat(within, up, down))
+    tasks = rows.select("bit", "node", "n", "comp", F.explode(parts).alias("x")).select("bit", "x.part", "x.side", "node", "n", "comp")
+    tasks = tasks.withColumn("task", F.xxhash64("bit", "part")).join(routed.select("node", "sig", "bits"), "node")
+    tasks = tasks.repartition("task").sortWithinPartitions("task", "bit")
 
     def run(batches):
         for rows in groups(batches, ["task", "bit"]):
-            n, ids, comp, bit = rows.column("n").to_numpy(), rows.column("rep").to_numpy(), rows.column("comp").to_numpy(), rows.column("bit")[0].as_py()
+            n, ids, comp, bit = rows.column("n").to_numpy(), rows.column("node").to_numpy(), rows.column("comp").to_numpy(), rows.column("bit")[0].as_py()
             part = rows.column("part")[0].as_py().split(":")
-            across = len(part) == 4 and (part[0], part[1]) != (part[2], part[3])
+            across = len(part) == 4 and part[:2] != part[2:]
             p, score = join_group(n, comp, rows.column("sig").to_pylist(), percent, rows.column("side").to_numpy() if across else None)
             lists = rows.column("bits").to_pylist()
             bits = np.full((len(lists), max(map(len, lists))), np.iinfo(np.int64).max)
@@ -310,10 +352,12 @@ def _candidates(left: DataFrame, routed: DataFrame, percent: int, block: int, be
             a, b = ids[p[:, 0]], ids[p[:, 1]]
             yield pa.record_batch({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
 
-    return tasks.select("task", "bit", "part", "side", "rep", "n", "comp", "sig", "bits").mapInArrow(run, "a long, b long").distinct()
+    return tasks.select("task", "bit", "part", "side", "node", "n", "comp", "sig", "bits").mapInArrow(run, "a long, b long").distinct(), per
 
 
 def keep_one(docs: DataFrame, percent: int = 80, ngram: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs with one document of each class, that of the least id; rows without an id stay."""
-    out = cluster(docs, percent, ngram, doc_id=doc_id, text=text).where("doc_id <> component_id").select(F.col("doc_id").alias("_q_id")).distinct()
-    return docs.join(out, F.col(doc_id) == F.col("_q_id"), "left_anti")
+    """docs with one document of each class, that of the least id (each row of it where the id repeats); rows without an id stay."""
+    out = cluster(docs, percent, ngram, doc_id=doc_id, text=text).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
+    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col(doc_id).cast("long").alias("gone"), kept)
+    return rows.join(out, "gone", "left_anti").select("row.*")

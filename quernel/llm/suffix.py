@@ -31,7 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ._common import arrow_map, bit_field, groups, held, joint, materialise
-from .jaccard import _BYTE, _mix, _powers
+from ._common import mix64 as _mix
+from .jaccard import _BYTE, _powers
 
 _LONG = pa.int64()
 

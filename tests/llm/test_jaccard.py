@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quernel.llm import jaccard
 
@@ -48,12 +49,12 @@ def corpus(seed):
     return texts + [None, "", " \n\t", "A b C d E", "a B c D e", "É ß x y z w", texts[0], texts[0].upper(), texts[1].replace(" ", "\n")]
 
 
-@pytest.mark.parametrize("hot, block", [(256, 2048), (5, 16)])
-def test_against_brute_force(spark, hot, block):
+@pytest.mark.parametrize("hot, block, exact", [(256, 2048, False), (5, 16, False), (5, 16, True)])
+def test_against_brute_force(spark, hot, block, exact):
     texts = corpus(hot)
     rows = [(i, t, 1) for i, t in enumerate(texts)] + [(None, texts[0], 1)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n int")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.cluster(df, hot=hot, block=block, field_bits=16).collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.cluster(df, hot=hot, block=block, exact=exact).collect()}
     assert got.pop(None)[1] is None
     assert got == dict(enumerate(brute(texts)))
 
@@ -79,4 +80,19 @@ def test_traversal_loses_no_pair():
 
 
 def test_empty(spark):
-    assert jaccard.cluster(spark.createDataFrame([], "doc_id long, text string"), field_bits=16).count() == 0
+    assert jaccard.cluster(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_texts_that_share_an_id_are_compared_each(spark):
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a + " more"), (3, b + " more"), (4, "x " * 9000), (4, "x " * 9000)]
+    got = sorted(tuple(r) for r in jaccard.cluster(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(1, 36, 1), (1, 36, 1), (2, 37, 1), (3, 37, 1), (4, 1, 4), (4, 1, 4)]
+
+
+def test_keep_one_keeps_all_columns(spark):
+    a = " ".join(f"w{i}" for i in range(30))
+    rows = [(5, a, "p"), (3, a, "q"), (None, a, "r"), (7, None, "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, gone string").withColumn("copies", F.lit(1)).withColumn("_q_id", F.lit(2))
+    got = jaccard.keep_one(docs)
+    assert got.columns == docs.columns and sorted(r.gone for r in got.collect()) == ["q", "r", "s"]
