@@ -74,6 +74,12 @@ def lookup(rows: DataFrame, table: DataFrame, on: str, weight: str, how: str = "
     return there.unionByName(rows.join(F.broadcast(few.select(on)), on, "left_anti").join(rest, on, how).select(*there.columns))
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """name, or the first of name_1, name_2, ... that is no column of df."""
+    taken = {c.lower() for c in df.columns}
+    return next(x for x in (name, *(f"{name}_{i}" for i in range(1, len(taken) + 2))) if x.lower() not in taken)
+
+
 def arrow_map(df: DataFrame, fn: Callable[[pa.Table], Iterator[pa.Table]], schema: str | StructType) -> DataFrame:
     """mapInArrow in chunks of about CHUNK_BYTES; fn yields tables of `schema`."""
     from pyspark.sql.pandas.types import to_arrow_schema
