@@ -43,3 +43,22 @@ def test_against_brute_force(spark, block):
 
 def test_empty(spark):
     assert pivots.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_rows_that_repeat_an_id(spark):
+    rng = np.random.default_rng(2)
+    a, b = rng.normal(size=(2, 16))
+    near = lambda v: [float(t) for t in v + rng.normal(size=16) * 0.02]
+    rows = [(1, a.tolist()), (1, b.tolist()), (2, near(a)), (3, near(b)), (4, rng.normal(size=16).tolist())]
+    got = sorted(tuple(r) for r in pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+    assert got == [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False), (4, 0, 4, True)]
+
+
+def test_first_lists():
+    rng = np.random.default_rng(3)
+    a = np.array([rng.permutation(12)[:6] for _ in range(200)])
+    b = np.array([rng.permutation(12)[:6] for _ in range(200)])
+    lists = lambda p: {(min(x, y), max(x, y)) for i, x in enumerate(p[:3]) for y in p[i + 1 :]}
+    first, second = pivots.first_lists(a, b, 3)
+    for x, y, p, q in zip(a.tolist(), b.tolist(), first, second, strict=True):
+        assert (p, q) == min(lists(x) & lists(y), default=(-1, -1))
