@@ -11,7 +11,8 @@ Inputs of a score are statistics of the whole text alone. Fitting uses bounded s
 kind, those of the smallest hash); scoring covers every row.
 
 Defined results: a null or empty text gets the statistics of an empty one and so a score; rows without a
-doc_id are scored and never used for fitting; repeated rows get equal scores; without positives, or with an
+doc_id are scored, count as not held out and are never used for fitting; repeated rows get equal scores; texts of any
+length are taken whole; further columns of either table, whatever their names, are not looked at; without positives, or with an
 empty table, the model falls back to the constant prior `no_labels_score`.
 """
 
@@ -22,7 +23,7 @@ from operator import eq
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ._common import arrow_map
@@ -126,13 +127,6 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray, seed: int = 11, least_share
     return float(np.clip(qu[best] / qp[best], 0.02, 0.98))
 
 
-def _features(docs: DataFrame, doc_id: str, text: str, keep: str) -> DataFrame:
-    def go(t: pa.Table):
-        yield pa.table({"doc_id": t.column(0), keep: t.column(1), "x": pa.array([text_features(s) for s in t.column(2).to_pylist()], pa.list_(pa.float64()))})
-
-    return arrow_map(docs.select(F.col(doc_id).cast("long"), F.col(keep), F.col(text)), go, f"doc_id long, {keep} boolean, x array<double>")
-
-
 @dataclass
 class QualityModel:
     """A fitted network, the prior it was fitted under, and what is scored without a fit."""
@@ -165,24 +159,30 @@ class QualityModel:
 
 
 def held_out(doc_id: str):
-    return F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0
+    return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 12_000, doc_id: str = "doc_id", text: str = "text", quality: str = "quality", epochs: int = 40, seed: int = 5) -> QualityModel:
     """Fits on at most max_rows positives and max_rows unlabelled documents, none of them held out.
 
-    The labels' table gives the positives' ids only; unlabelled are all documents whatever their label.
+    The labels' table gives the positives' ids only; unlabelled are all documents whatever their label. Samples are the
+    rows of the least hashes, ties by their statistics, so repeated ids don't make them larger.
     """
     rank = lambda c: F.xxhash64(c, F.lit(seed))
-    train = lambda df: df.where(F.col(doc_id).isNotNull() & ~held_out(doc_id))
-    positive = train(labels).where(F.col(quality) == 1).select(F.col(doc_id).cast("long").alias("i")).distinct().orderBy(rank("i")).limit(max_rows).withColumn("positive", F.lit(True))
-    unlabelled = train(docs).select(F.col(doc_id).cast("long").alias("i")).orderBy(rank(F.col("i") + 1)).limit(max_rows).distinct().withColumn("positive", F.lit(False))
+    train = lambda df: df.where(F.col(doc_id).isNotNull() & ~held_out(doc_id)).withColumnRenamed(doc_id, "doc_id")
+    positive = train(labels.select(doc_id, F.col(quality).alias("q"))).where("q = 1").select(F.col("doc_id").cast("long").alias("i")).distinct().orderBy(rank("i")).limit(max_rows).withColumn("positive", F.lit(True))
+    unlabelled = train(docs.select(doc_id)).select(F.col("doc_id").cast("long").alias("i")).orderBy(rank(F.col("i") + 1)).limit(max_rows).distinct().withColumn("positive", F.lit(False))
     # both sides of the union are at most max_rows ids
-    chosen = docs.join(F.broadcast(positive.unionByName(unlabelled)), F.col(doc_id) == F.col("i")).select(F.col(doc_id), F.col(text), "positive")
-    rows = _features(chosen, doc_id, text, "positive").limit(8 * max_rows).toArrow()
+    chosen = docs.select(F.col(doc_id).cast("long").alias("i"), F.col(text).alias("t")).join(F.broadcast(positive.unionByName(unlabelled)), "i").select("i", "positive", "t")
+
+    def go(t: pa.Table):
+        yield pa.table({"i": t.column(0), "positive": t.column(1), "x": pa.array([text_features(s) for s in t.column(2).to_pylist()], pa.list_(pa.float64()))})
+
+    first = F.row_number().over(Window.partitionBy("positive").orderBy(rank(F.col("i") + F.when(F.col("positive"), 0).otherwise(1)), "i", "x"))
+    rows = arrow_map(chosen, go, "i long, positive boolean, x array<double>").withColumn("first", first).where(F.col("first") <= max_rows).drop("first").toArrow()
     p = rows.column("positive").to_numpy().astype(bool)
     x = rows.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, FEATURES)
-    order = np.lexsort((*x.T, p, rows.column("doc_id").to_numpy()))  # rows come in any order
+    order = np.lexsort((*x.T, p, rows.column("i").to_numpy()))  # rows come in any order
     x, p = x[order], p[order]
     if not p.any() or p.all():
         return QualityModel(None, 0.5)

@@ -61,3 +61,14 @@ def test_without_labels(spark, n):
     df = spark.createDataFrame([(i, "x", 1.0) for i in range(n)], SCHEMA)
     out = quality.classify(df, spark.createDataFrame([], "doc_id long, quality int")).collect()
     assert [r.score for r in out] == [0.5] * n
+
+
+def test_clashing_columns_and_repeated_ids(spark):
+    docs, labels = corpus(300)
+    rows = [(i, t, True, 1, 2, 0.5) for i, t, _ in docs] + [(7, docs[7][1], False, 3, 4, 0.1)] * 50
+    df = spark.createDataFrame(rows, "doc_id long, text string, positive boolean, i int, x int, held_out double")
+    lab = spark.createDataFrame([(i, q, t, 1, "z") for i, q, t in labels], "doc_id long, quality int, toxic int, i int, text string")
+    out = quality.classify(df, lab, epochs=2).collect()
+    assert len(out) == len(rows) and out[0].asDict().keys() == {"doc_id", "held_out", "score", "predicted"}
+    assert quality.fit(df, lab, epochs=2).keep(df).columns == df.columns
+    assert not quality.classify(spark.createDataFrame([(None, "a b c")], "doc_id long, text string"), lab).first().held_out
