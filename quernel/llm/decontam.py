@@ -11,8 +11,9 @@ Both sides are compared in lower case with white space runs as one blank; positi
 points of the text as it stands. Items go to the workers in blocks of at most `block_chars` characters, one
 pass over the documents a block, so what is sent is bounded whatever the benchmark's size.
 
-Defined results: null or empty texts and items match nothing; items alike are reported each under its own
-id; a null item_id is reported as null; repeated rows get findings each; a document without findings has
+Defined results: null or empty texts and items match nothing; an item counts wherever its characters stand, inside
+words too; items alike are reported each under its own id, a repeated row of items once; a null item_id is reported as
+null; texts of any length are searched whole; repeated rows get findings each; a document without findings has
 no row; empty tables give no findings; further columns are passed over (and kept by `decontaminate`).
 """
 
@@ -20,8 +21,10 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -173,19 +176,20 @@ class Matcher:
         yield group[at:]
 
 
-def _blocks(items: DataFrame, block_chars: int, item_id: str, text: str) -> list[list[tuple]]:
+def _blocks(items: DataFrame, block_chars: int, item_id: str, text: str) -> Iterator[list[tuple]]:
     """The items in blocks of about block_chars; each is collected on its own."""
-    rows = items.where(F.length(text) > 0).select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t"))
+    rows = items.where(F.length(text) > 0).select(F.col(item_id).cast("long").alias("i"), F.col(text).alias("t")).distinct()
     total = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     n = -(-total // block_chars)
     for k in range(n):
         yield sorted(((r["i"], r["t"]) for r in rows.where(F.pmod(F.xxhash64("i", "t"), F.lit(n)) == k).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
 
 
-def _matcher(key: tuple, items: list[tuple], budget: float) -> Matcher:
+def _matcher(key: tuple, items: Broadcast, budget: float) -> Matcher:
+    """The automaton of a block, built once a worker."""
     if key not in _BUILT:
         _BUILT.clear()
-        _BUILT[key] = Matcher(items, budget)
+        _BUILT[key] = Matcher(items.value, budget)
     return _BUILT[key]
 
 
@@ -194,7 +198,7 @@ def find_leaks(docs: DataFrame, items: DataFrame, budget: float = 0.1, block_cha
     schema, out = "doc_id long, item_id long, start long, end long, distance int", None
     source = docs.select(F.col(doc_id).cast("long"), F.col(text))
     for block in _blocks(items, block_chars, item_id, item_text):
-        key = (hash(tuple(block)), budget)
+        key, block = (hash(tuple(block)), budget), docs.sparkSession.sparkContext.broadcast(block)
 
         def go(t: pa.Table, block=block, key=key):
             matcher = _matcher(key, block, budget)
@@ -210,7 +214,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, budget: float = 0.1, block_
     """docs without the rows whose text holds a test item; no shuffle."""
     where = docs.columns.index(text)
     for block in _blocks(items, block_chars, item_id, item_text):
-        key = (hash(tuple(block)), budget)
+        key, block = (hash(tuple(block)), budget), docs.sparkSession.sparkContext.broadcast(block)
 
         def go(t: pa.Table, block=block, key=key):
             matcher = _matcher(key, block, budget)
