@@ -44,8 +44,21 @@ def materialise(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
-def drop(*tables: DataFrame) -> None:
-    """Deletes work tables that nothing reads any more; shuffle files of finished jobs go with the collection that follows."""
+def work_folder(spark: SparkSession) -> str:
+    """A new folder's path in the shared folder, for files; it goes with `drop`, at the latest when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/quernel-{uuid.uuid4().hex}"
+    fs, at = _path(spark, path)
+    fs.mkdirs(at)
+    fs.deleteOnExit(at)
+    return path
+
+
+def drop(*tables: DataFrame, folder: str | None = None) -> None:
+    """Deletes work tables (and a work folder) that nothing reads any more; shuffle files of finished jobs go with the
+    collection that follows."""
+    if folder:
+        fs, at = _path(tables[0].sparkSession, folder)
+        fs.delete(at, True)
     for df in tables:
         fs, at = _path(df.sparkSession, df._quernel_top)
         fs.delete(at, True)

@@ -57,7 +57,7 @@ def op9_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = warc.round_trip(_read(spark, sf_dir, "pages"), least_bytes=0)
+    out = warc.round_trip(_read(spark, sf_dir, "pages"), least_bytes=0, bodies=False)
     return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
