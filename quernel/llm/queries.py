@@ -22,8 +22,8 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model = secrets.train(secrets.labelled_findings(spark))
-    found = secrets.scan(_read(spark, sf_dir, "documents"), model, path="source")
+    docs = _read(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.train(secrets.labelled_findings(spark), secrets.learn(docs)), path="source")
     return found.select("doc_id", "start", "end", F.sha2("candidate", 256).alias("secret_sha256"), F.round("score", 6).alias("score"))
 
 
