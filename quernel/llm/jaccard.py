@@ -283,9 +283,16 @@ def cluster(docs: DataFrame, percent: int = 80, ngram: int = 5, k: int = 25, lea
     comp, best = components(links), True
     while True:
         left = materialise(leaves.join(comp, "node", "left").select("bit", "node", "n", F.coalesce("component", "node").alias("comp")), "left")
-        found, sizes = _candidates(left, routed, percent, block, best)
-        found, seen = measured(found.join(tried, ["a", "b"], "left_anti"), "pairs")
+        under, sizes = _candidates(left, routed, percent, block, best)
+        under = materialise(under, "under")
         drop(left, sizes)
+        # connecting more nodes only takes pairs away, so a bit that gave none is done with
+        bits = materialise(under.groupBy("bit").agg(F.max("total").alias("total")), "bits")
+        fewer = materialise(lookup(leaves, bits, "bit", "total").select("node", "n", "bit"), "leaves")
+        drop(leaves, bits)
+        leaves = fewer
+        found, seen = measured(under.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        drop(under)
         if seen["n"]:
             more = _verified(docs, found, ngram, percent, text, block)
             new = more.count()
@@ -309,8 +316,8 @@ def cluster(docs: DataFrame, percent: int = 80, ngram: int = 5, k: int = 25, lea
 
 
 def _candidates(left: DataFrame, routed: DataFrame, percent: int, block: int, best: bool) -> tuple[DataFrame, DataFrame]:
-    """Pairs (a, b) that the dual traversal leaves, and the work table it reads besides; left: bit, node, n, comp; best: for
-    each node under a bit only the likeliest."""
+    """Pairs (a, b, bit, total: how many nodes the bit has) that the dual traversal leaves, and the work table it reads besides;
+    left: bit, node, n, comp; best: for each node under a bit only the likeliest."""
     size_class = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / percent)) + 1e-9)
     here = left.withColumn("cls", size_class)
     # how many nodes of each size class a bit has, where not all of them are connected yet
@@ -328,7 +335,7 @@ def _candidates(left: DataFrame, routed: DataFrame, percent: int, block: int, be
     down = F.transform(series(blocks(F.col("cls") - 1)), lambda o: F.struct(name(F.col("cls") - 1, o, F.col("cls"), mine).alias("part"), F.lit(1).alias("side")))
     whole = F.array(F.struct(F.lit("").alias("part"), F.lit(0).alias("side")))
     parts = F.when(F.col("total") <= block, whole).otherwise(F.concat(within, up, down))
-    tasks = rows.select("bit", "node", "n", "comp", F.explode(parts).alias("x")).select("bit", "x.part", "x.side", "node", "n", "comp")
+    tasks = rows.select("bit", "total", "node", "n", "comp", F.explode(parts).alias("x")).select("bit", "total", "x.part", "x.side", "node", "n", "comp")
     tasks = tasks.withColumn("task", F.xxhash64("bit", "part")).join(routed.select("node", "sig", "bits"), "node")
     tasks = tasks.repartition("task").sortWithinPartitions("task", "bit")
 
@@ -349,10 +356,10 @@ def _candidates(left: DataFrame, routed: DataFrame, percent: int, block: int, be
                 order = np.lexsort((ids[other], -np.concatenate([score, score]), row))
                 first = order[np.concatenate([[True], row[order][1:] != row[order][:-1]])]
                 p = np.unique(np.sort(np.stack([row[first], other[first]], 1), 1), axis=0)
-            a, b = ids[p[:, 0]], ids[p[:, 1]]
-            yield pa.record_batch({"a": pa.array(np.minimum(a, b), pa.int64()), "b": pa.array(np.maximum(a, b), pa.int64())})
+            a, b, total = ids[p[:, 0]], ids[p[:, 1]], rows.column("total")[0].as_py()
+            yield pa.record_batch([pa.array(x, pa.int64()) for x in (np.minimum(a, b), np.maximum(a, b), np.full(len(p), bit), np.full(len(p), total))], ["a", "b", "bit", "total"])
 
-    return tasks.select("task", "bit", "part", "side", "node", "n", "comp", "sig", "bits").mapInArrow(run, "a long, b long").distinct(), per
+    return tasks.select("task", "bit", "total", "part", "side", "node", "n", "comp", "sig", "bits").mapInArrow(run, "a long, b long, bit long, total long"), per
 
 
 def keep_one(docs: DataFrame, percent: int = 80, ngram: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
