@@ -9,7 +9,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -68,10 +68,13 @@ def drop(*tables: DataFrame, folder: str | None = None) -> None:
 
 
 def measured(df: DataFrame, name: str, **sums) -> tuple[DataFrame, dict]:
-    """materialise, with aggregates of what is written that need no job of their own."""
-    seen = Observation()
-    out = materialise(df.observe(seen, F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in sums.items()]), name)
-    return out, seen.get
+    """materialise, with the number of rows as n and further aggregates of what was written."""
+    out = materialise(df, name)
+    return out, out.agg(F.count(F.lit(1)).alias("n"), *[c.alias(k) for k, c in sums.items()]).first().asDict()
+
+
+#: Below so many rows in all, a hot key is no burden for a task and gets no treatment of its own.
+FEW_ROWS = 200_000
 
 
 def lookup(rows: DataFrame, table: DataFrame, on: str, weight: str, how: str = "inner") -> DataFrame:
@@ -81,6 +84,8 @@ def lookup(rows: DataFrame, table: DataFrame, on: str, weight: str, how: str = "
     rows stay where they are; the others meet by a shuffle. Both inputs should be written tables, they are read twice.
     """
     total = table.agg(F.sum(weight)).first()[0] or 0
+    if total <= FEW_ROWS:
+        return rows.join(table, on, how)
     hot = F.col(weight) > max(total / 1000, 1000)
     few, rest = table.where(hot), table.where(~hot)
     there = rows.join(F.broadcast(few), on)
@@ -110,33 +115,40 @@ def arrow_map(df: DataFrame, fn: Callable[[pa.Table], Iterator[pa.Table]], schem
     return df.mapInArrow(run, schema)
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether edges (u, v) lead from each u to one v, and no v is a u."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up")))
+    state = ends.groupBy("x").agg(F.sum("up").alias("ups"), F.min("up").alias("low"))
+    return state.agg(F.count_if((F.col("ups") > 1) | ((F.col("ups") > 0) & (F.col("low") == 0)))).first()[0] == 0
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) of every node of the undirected edges, written; component is the smallest node reachable.
 
-    Large-star and small-star rounds, alternating, to the fixed point: each a minimum by node with map-side combining
-    and a join. A node with more than a thousandth of all edges takes part by a broadcast of its minimum (fewer than
-    a thousand such nodes), so its neighbours never meet in one task. The edges are written after each round; two
-    order-free sums tell whether they changed.
+    Large-star and small-star rounds, alternating, until all edges lead from a node to its component: each round a
+    minimum by node with map-side combining and a join. A node with more than a thousandth of all edges takes part by a
+    broadcast of its minimum (fewer than a thousand such nodes), so its neighbours never meet in one task. The edges are
+    written after each round.
     """
-    sums = {"x": F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), "y": F.sum(F.col("u").cast("decimal(38,0)"))}
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null and u <> v")
-    e, before = measured(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", **sums)
-    while before["n"]:
+    e, seen = measured(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    while seen["n"] and not _settled(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
-        hot = F.col("c") > max(before["n"] / 500, 1000)
-        few = F.broadcast(low.where(hot).select("u", "m"))
-        large = both.where("v > u").join(few, "u").unionByName(both.where("v > u").join(few, "u", "left_anti").join(low.where(~hot).select("u", "m"), "u"))
+        upper = both.where("v > u")
+        if seen["n"] <= FEW_ROWS:
+            large = upper.join(low.select("u", "m"), "u")
+        else:
+            hot = F.col("c") > seen["n"] / 500
+            few = F.broadcast(low.where(hot).select("u", "m"))
+            large = upper.join(few, "u").unionByName(upper.join(few, "u", "left_anti").join(low.where(~hot).select("u", "m"), "u").select("u", "v", "m"))
         # every edge now leads from a node to a smaller one; by the upper end, few edges each
         e2 = large.select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").repartition("u").dropDuplicates(["u", "v"])
         low = e2.groupBy("u").agg(F.min("v").alias("m"))
         small = e2.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v")))
-        new, now = measured(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", **sums)
+        new, seen = measured(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         drop(e)
         e = new
-        if now == before:
-            break
-        before = now
     out = materialise(e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()), "components")
     drop(e)
     return out
@@ -218,8 +230,10 @@ def bit_field(values: DataFrame, columns: list[str], bits: int) -> np.ndarray:
         return pa.table({"i": t.column("i").slice(0, 1), "slot": t.column("slot").slice(0, 1), "x": pa.array([x.tobytes()], pa.binary())})
 
     schema, out = "i int, slot int, x binary", np.zeros(1 << bits >> 3, np.uint8)
-    level = values.select(*columns).mapInArrow(partial, schema).groupBy("i", "slot").applyInArrow(united, schema)
-    for r in level.groupBy("i").applyInArrow(united, schema).toLocalIterator():
+    level = values.select(*columns).mapInArrow(partial, schema)
+    if bits > 24:  # a smaller field is of less than a million rows and so of few tasks
+        level = level.groupBy("i", "slot").applyInArrow(united, schema)
+    for r in level.groupBy("i").applyInArrow(united, schema).collect():
         out[r["i"] * piece : r["i"] * piece + len(r["x"])] = np.frombuffer(r["x"], np.uint8)
     return out
 

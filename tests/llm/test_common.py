@@ -1,11 +1,14 @@
 import random
 
 import numpy as np
+import pytest
 
 from quernel.llm import _common as C
 
 
-def test_components(spark):
+@pytest.mark.parametrize("few", [C.FEW_ROWS, 0])
+def test_components(spark, few, monkeypatch):
+    monkeypatch.setattr(C, "FEW_ROWS", few)
     rng = random.Random(6)
     edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(170)] + [(i, i + 1) for i in range(400, 440)] + [(500, i) for i in range(501, 560)] + [(7, 7), (None, 3)]
     root = {}
@@ -40,3 +43,12 @@ def test_groups_span_batches():
     for size in (1, 2, 7, 100):
         got = [(g.column("k")[0].as_py(), g.column("v").to_pylist()) for g in C.groups(t.to_batches(size), ["k"])]
         assert got == [(x, np.arange(len(k))[k == x].tolist()) for x in (1, 2, 5, 9)]
+
+
+def test_lookup_of_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(C, "FEW_ROWS", 0)
+    rows = spark.range(20_000).selectExpr("if(id % 3 = 0, 7, id) AS k", "id AS x")
+    table = spark.range(20_000).selectExpr("if(id % 3 = 0, 7, id) AS k").groupBy("k").count().where("k < 15000").withColumnRenamed("count", "w")
+    got = C.lookup(rows, table, "k", "w", "left")
+    assert got.count() == 20_000 and got.where("w is not null").count() == rows.where("k < 15000").count() and got.where("k = 7").select("w").distinct().count() == 1
+    assert C.lookup(rows, table, "k", "w").count() == rows.where("k < 15000").count()

@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
@@ -47,3 +48,23 @@ def test_stages(spark, sf_dir):
 def test_run(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
     assert out.count() > 0 and out.columns[-1] == "copies"
+
+
+def test_stages_carry_any_columns_and_odd_rows(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    odd = spark.createDataFrame([(None, None, "en", None, 0), (None, "Some plain words stand here for good.", "en", "s0", 0), (7000, "", None, "s1", 0), (7001, "long words stand here " * 40_000, "en", "s1", 0), (7001, "long words stand here " * 40_000, "en", "s1", 0)], docs.schema)
+    extra = {"copies": 1, "row": 2, "key": 3, "gone": 4, "_q_id": 5, "score": 6, "i": 7, "positive": True, "component_id": 8, "flags": 9, "start": 10}
+    docs = docs.unionByName(odd).withColumns({k: F.lit(v) for k, v in extra.items()})
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    columns = docs.columns
+    for name, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, sf_dir).cache()
+        assert docs.columns == (columns if name != "mixing" else [*columns, "copies_1"]) and docs.count() > 0
+        assert all(r.asDict().items() >= extra.items() for r in docs.collect())
+
+
+def test_stages_of_an_empty_table(spark, sf_dir):
+    none = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, none, sf_dir).count() == 0
