@@ -3,6 +3,11 @@
 Each stage takes (spark, docs, sf_dir), works on all rows that its predecessor kept and returns a DataFrame,
 which is written as Parquet and read again as the next one's docs. All but the last return the columns of
 documents; the last adds `copies`, how often the mix takes a document.
+
+Defined results: a null text is scored as an empty one, has no copy, no leak and no secret, and is mixed with size 0 if
+the classifier keeps it; rows with a null doc_id pass the near-copy stage as they are; repeated rows are copies of one id,
+kept or dropped together; an empty table stays empty; texts of any length are taken whole; further columns, whatever their
+names, are carried through (where documents have a column `copies`, the count is `copies_1`).
 """
 
 from __future__ import annotations
@@ -11,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quernel.llm import decontam, jaccard, mixing, quality, secrets
-from quernel.llm._common import materialise
+from quernel.llm._common import drop, materialise
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,8 +36,8 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with credentials masked and n_chars counted anew."""
-    model = secrets.train(secrets.labelled_findings(spark))
-    return secrets.redact(docs, model, path="source").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    scanner = secrets.train(secrets.labelled_findings(spark), secrets.learn(docs))
+    return secrets.redact(docs, scanner, path="source").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +54,9 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, last = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for name, stage in STAGES:
         docs = materialise(stage(spark, docs, sf_dir), name)
+        drop(*last)
+        last = [docs]
     return docs
