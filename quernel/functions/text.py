@@ -30,10 +30,19 @@ def tr_lower(x) -> Column:
     return F.lower(F.translate(_col(x), X.UPPER, X.LOWER))
 
 
+def found_tokens(x) -> Column:
+    """All numbers with inner points and commas, single digits and runs of letters, in lower case."""
+    return F.regexp_extract_all(tr_lower(F.coalesce(_col(x), F.lit(""))), F.lit(X.TOKEN), F.lit(0))
+
+
+def is_token(t: Column) -> Column:
+    """Neither a stop word nor a lone letter."""
+    return ~t.isin(X.STOPWORDS) & ((F.length(t) >= 2) | t.rlike("^[0-9]$"))
+
+
 def raw_tokens(x) -> Column:
-    """Numbers with inner points and commas, single digits, runs of letters; without stop words and lone letters."""
-    found = F.regexp_extract_all(tr_lower(F.coalesce(_col(x), F.lit(""))), F.lit(X.TOKEN), F.lit(0))
-    return F.filter(found, lambda t: ~t.isin(X.STOPWORDS) & ((F.length(t) >= 2) | t.rlike("^[0-9]$")))
+    """found_tokens without stop words and lone letters."""
+    return F.filter(found_tokens(x), is_token)
 
 
 def equivalents(t: Column) -> Column:
@@ -45,10 +54,17 @@ def equivalents(t: Column) -> Column:
     return F.filter(F.array_distinct(F.array_compact(F.array(plain, month, padded, number))), lambda e: e != t)
 
 
+def forms(t: Column) -> Column:
+    """A token's index terms: itself, its six-letter stem marked ~ if it has seven letters or more, its equivalents."""
+    stem = F.when((F.length(t) >= X.STEM_FROM) & ~t.rlike("^[0-9]"), F.array(F.concat(F.left(t, F.lit(X.STEM_LEN)), F.lit("~")))).otherwise(F.array().cast("array<string>"))
+    # few tokens have other forms; the others are spared the look-ups
+    other = t.startswith("0") | t.isin([*X.MONTHS, *X.NUMBER_WORDS])
+    return F.concat(F.array(t), stem, F.when(other, equivalents(t)).otherwise(F.array().cast("array<string>")))
+
+
 def tokenize(x) -> Column:
-    """Index terms: each token, its six-letter stem marked ~ if it has seven letters or more, its equivalents."""
-    stem = lambda t: F.when((F.length(t) >= X.STEM_FROM) & ~t.rlike("^[0-9]"), F.array(F.concat(F.left(t, F.lit(X.STEM_LEN)), F.lit("~")))).otherwise(F.array().cast("array<string>"))
-    return F.flatten(F.transform(raw_tokens(x), lambda t: F.concat(F.array(t), stem(t), equivalents(t))))
+    """Index terms: the forms of each token."""
+    return F.flatten(F.transform(raw_tokens(x), forms))
 
 
 def content_terms(x) -> Column:

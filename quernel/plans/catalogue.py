@@ -9,6 +9,7 @@ from ..functions import fixed as X
 from ..functions import stats as ST
 from ..functions import text as T
 from ..operators import chunking, context, evaluate, index, ingest, search, tools, verify
+from ..sources.work import shared_folder
 from . import sql as Q
 
 QUERIES: dict = {}
@@ -78,8 +79,15 @@ _POST = f"terms AS (SELECT doc_id, {Q.tokenize('text')} AS terms FROM documents)
 _SCORE = f"q AS (SELECT DISTINCT item_id AS qid, unnest({Q.tokenize('text')}) AS term FROM benchmark), bm AS (SELECT qid, doc_id, sum((CASE WHEN term LIKE '%~' THEN {X.STEM_WEIGHT}::DOUBLE ELSE 1.0::DOUBLE END) * idf * tf * ({X.K1}::DOUBLE + 1) / (tf + {X.K1}::DOUBLE * (1 - {X.B}::DOUBLE + {X.B}::DOUBLE * greatest(dl, 1) / avg_len))) AS score FROM q JOIN idf USING (term) JOIN post USING (term), corpus WHERE idf > 0 GROUP BY ALL), ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(score, 9) DESC, doc_id) AS rank FROM bm WHERE score > 0)"
 
 
+_CREATED: dict[tuple[str, str], index.Index] = {}
+
+
 def _index(spark, sf_dir):
-    return index.build(table(spark, sf_dir, "documents"))
+    """The index of a folder's documents, written once a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CREATED:
+        _CREATED[key] = index.create(table(spark, sf_dir, "documents"), f"{shared_folder(spark)}/index", ranges=8)
+    return _CREATED[key]
 
 
 def _questions(spark, sf_dir):
@@ -103,7 +111,7 @@ def _(spark, sf_dir):
 
 @query("doc_length", f"WITH {_POST} SELECT doc_id, len(terms)::BIGINT AS dl FROM terms")
 def _(spark, sf_dir):
-    return _index(spark, sf_dir).doc_terms.select("doc_id", F.size("terms").cast("long").alias("dl"))
+    return _index(spark, sf_dir).lengths
 
 
 @query("doc_frequency_idf", f"WITH {_POST} SELECT term, df::BIGINT AS df, round(idf, 9) AS idf FROM idf")
@@ -156,15 +164,15 @@ _COV = f"qt AS (SELECT item_id AS qid, list_distinct({Q.content_terms('text')})
 
 @query("nearest_diagnostic", f"WITH {_DENSE}, {_COV} SELECT qid, doc_id, round(similarity, 6) AS similarity, rank::INT AS rank, round({Q.coverage('qt', 'bt')}, 6) AS keyword_coverage FROM dense JOIN qt USING (qid) JOIN bt USING (doc_id) WHERE rank <= 3")
 def _(spark, sf_dir):
-    out = search.nearest(_vectors(spark, sf_dir), table(spark, sf_dir, "documents"), _asked(spark, sf_dir).where("qvec is not null"), 3, skip_self=True)
+    out = search.nearest(_vectors(spark, sf_dir), table(spark, sf_dir, "documents"), _asked(spark, sf_dir).where("qvec is not null"), 3, skip_self=True, index=_index(spark, sf_dir))
     return out.select("qid", "doc_id", F.round("similarity", 6).alias("similarity"), "rank", F.round("keyword_coverage", 6).alias("keyword_coverage"))
 
 
 @query("keyword_coverage", f"WITH {_POST}, {_SCORE}, {_COV} SELECT qid, doc_id, round({Q.coverage('qt', 'bt')}, 6) AS coverage FROM ranked JOIN qt USING (qid) JOIN bt USING (doc_id) WHERE rank <= 20")
 def _(spark, sf_dir):
-    docs, q = table(spark, sf_dir, "documents"), _questions(spark, sf_dir)
+    q = _questions(spark, sf_dir)
     top = search.bm25_top(_index(spark, sf_dir), q, X.TOP_K)
-    found = search.guard(top.withColumn("similarity", F.lit(0.0)).withColumn("fusion_score", F.lit(1.0)), q, docs, min_similarity=0.0)
+    found = search.guard(top.withColumn("similarity", F.lit(0.0)).withColumn("fusion_score", F.lit(1.0)), q, None, min_similarity=0.0, index=_index(spark, sf_dir))
     return found.select("qid", "doc_id", F.round("keyword_coverage", 6).alias("coverage"))
 
 
@@ -196,7 +204,7 @@ _GUARD = f"{_POOL}, {_COV}, kept AS (SELECT pool.*, {Q.coverage('qt', 'bt')} AS
 @query("coverage_guard", f"WITH {_GUARD} SELECT qid, doc_id, round(coverage, 6) AS coverage, round(final_score, 9) AS final_score, row_number() OVER (PARTITION BY qid ORDER BY round(final_score, 12) DESC, pool_pos)::INT AS pos FROM final")
 def _(spark, sf_dir):
     q, pool = _pooled(spark, sf_dir)
-    kept = search.ordered(search.guard(pool, q, table(spark, sf_dir, "documents")))
+    kept = search.ordered(search.guard(pool, q, None, index=_index(spark, sf_dir)))
     return kept.select("qid", "doc_id", F.round("keyword_coverage", 6).alias("coverage"), F.round("final_score", 9).alias("final_score"), "pos")
 
 
@@ -209,7 +217,7 @@ def _(spark, sf_dir):
 @query("mmr_select")
 def _(spark, sf_dir):
     q, pool = _pooled(spark, sf_dir)
-    kept = search.ordered(search.guard(pool, q, table(spark, sf_dir, "documents"), min_similarity=0.0)).join(_vectors(spark, sf_dir), "doc_id")
+    kept = search.ordered(search.guard(pool, q, None, min_similarity=0.0, index=_index(spark, sf_dir))).join(_vectors(spark, sf_dir), "doc_id")
     return search.mmr(kept, 2 * X.FINAL_K)
 
 
