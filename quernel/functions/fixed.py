@@ -71,3 +71,13 @@ LONE_LETTER = r"(?U)(?<!\w)[A-Za-zÇĞİÖŞÜçğıöşü](?!\w)"
 TABLE_TAG = "[TABLO SATIRI]"
 SEPARATORS = ["\n\nMADDE ", "\n\nMadde ", "\n\nBÖLÜM ", "\n\nBölüm ", "\n\n", "\n", ". ", "; ", ", ", " ", ""]
 OUTAGE = ["yerel llm sunucusuna ulaşılamadı", "llm isteği başarısız", "winerror 10061", "connection refused", "llm erişilemez"]
+
+# The refusal sentence, what may stand before it, and what is tidied where it stood.
+REFUSAL = "Bu konu hakkında yüklenen belgelerde bilgi bulunmamaktadır."
+BEFORE_REFUSAL = r"(?iu)(?:bu nedenle[,\s]*|ancak[,\s]*|fakat[,\s]*)?"
+CITATIONS_BETWEEN = r"\s*(?:\[K\s*[0-9]+\]\s*)*"
+TIDY = [(r"\s+([.,;])", "$1"), (r"(?U)(?<![\w\]])[.,;]\s*", " "), ("[ \t]{2,}", " "), (r"\n{3,}", "\n\n")]
+CLAUSE_NUMBER = r"^[0-9]{1,2}\.[0-9]{1,2}$"
+
+# Parts of a numbered source block.
+BLOCK_OPEN, BLOCK_SOURCE, BLOCK_PLACE, BLOCK_SECTION, BLOCK_RULE, NO_SOURCE, NO_PLACE = "[K", "] Belge: ", " | Konum: ", " | Bölüm: ", "\n---\n", "bilinmiyor", "-"

@@ -188,12 +188,10 @@ def strip_refusal(answer, refusal: str) -> tuple[Column, Column]:
     if not core:
         return a, F.lit(0)
     quoted = [re.sub(r"([^\w])", r"\\\1", w) for w in core.split()]
-    phrase = r"(?iu)(?:bu nedenle[,\s]*|ancak[,\s]*|fakat[,\s]*)?" + r"\s*(?:\[K\s*[0-9]+\]\s*)*".join(quoted) + r"\s*\.?"
-    n = F.regexp_count(a, F.lit(phrase))
-    t = F.regexp_replace(a, phrase, " ")
-    t = F.regexp_replace(t, r"\s+([.,;])", "$1")
-    t = F.regexp_replace(t, r"(?U)(?<![\w\]])[.,;]\s*", " ")
-    t = F.regexp_replace(F.regexp_replace(t, "[ \t]{2,}", " "), r"\n{3,}", "\n\n")
+    phrase = X.BEFORE_REFUSAL + X.CITATIONS_BETWEEN.join(quoted) + r"\s*\.?"
+    n, t = F.regexp_count(a, F.lit(phrase)), F.regexp_replace(a, phrase, " ")
+    for pattern, by in X.TIDY:
+        t = F.regexp_replace(t, pattern, by)
     return F.when(n > 0, trim(t)).otherwise(a), n
 
 

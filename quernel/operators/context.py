@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import fixed as X
+
 
 def fit_budget(configured: Column, num_ctx: Column, num_predict: Column, chars_per_token: Column, system_len: Column, question_len: Column) -> Column:
     """Characters left for sources: at most configured, at least 600."""
@@ -14,8 +16,9 @@ def fit_budget(configured: Column, num_ctx: Column, num_predict: Column, chars_p
 
 def block(label: Column, source: Column, locator: Column, section: Column, text: Column) -> Column:
     """A numbered source block of the prompt."""
-    part = F.when(F.coalesce(section, F.lit("")) == "", "").otherwise(F.concat(F.lit(" | Bölüm: "), section))
-    return F.concat(F.lit("[K"), label.cast("string"), F.lit("] Belge: "), F.coalesce(source, F.lit("bilinmiyor")), F.lit(" | Konum: "), F.coalesce(locator, F.lit("-")), part, F.lit("\n---\n"), F.coalesce(text, F.lit("")), F.lit("\n---"))
+    part = F.when(F.coalesce(section, F.lit("")) == "", "").otherwise(F.concat(F.lit(X.BLOCK_SECTION), section))
+    head = F.concat(F.lit(X.BLOCK_OPEN), label.cast("string"), F.lit(X.BLOCK_SOURCE), F.coalesce(source, F.lit(X.NO_SOURCE)), F.lit(X.BLOCK_PLACE), F.coalesce(locator, F.lit(X.NO_PLACE)), part)
+    return F.concat(head, F.lit(X.BLOCK_RULE), F.coalesce(text, F.lit("")), F.lit(X.BLOCK_RULE.rstrip("\n")))
 
 
 def within_budget(rows: DataFrame, size: str, budget: Column, by: list[str], order: str) -> DataFrame:
