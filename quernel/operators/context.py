@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +37,27 @@ def contexts(rows: DataFrame, budget: int = 9000) -> DataFrame:
     return kept.groupBy("qid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("final_rank", "block"))), lambda x: x["block"]), "\n\n").alias("context"), F.count("*").alias("n_blocks"))
 
 
+#: A plain prompt; users bring their own wording with the same four places.
+TEMPLATE = "Sources ({count}):\n{context}\n\nQuestion: {question}\nIf the sources don't answer it, reply: {refusal}"
+
+
+def prompts(rows: DataFrame, questions: DataFrame, template: str = TEMPLATE, system: str = "", budget: int = 9000, refusal: str = X.REFUSAL) -> DataFrame:
+    """qid, system, prompt: the template with the number of all sources, those within the budget, the question and the refusal sentence."""
+    n = rows.groupBy("qid").agg(F.count("*").alias("n"))
+    c = questions.select("qid", F.regexp_replace("question", r"(?U)^\s+|\s+$", "").alias("question")).join(contexts(rows, budget), "qid", "left").join(n, "qid", "left")
+    of = {"count": F.coalesce("n", F.lit(0)).cast("string"), "context": F.coalesce("context", F.lit("")), "question": F.coalesce("question", F.lit("")), "refusal": F.lit(refusal)}
+    # by pieces, so that what is put in is not searched for places
+    parts = [of[x] if i % 2 else F.lit(x) for i, x in enumerate(re.split(r"\{(count|context|question|refusal)\}", template))]
+    return c.select("qid", F.lit(system).alias("system"), F.concat(*parts).alias("prompt"))
+
+
+def confidence(pool: DataFrame, answers: DataFrame, least: float = X.LOW_CONFIDENCE) -> DataFrame:
+    """answers with top_similarity (the greatest of a question's pool, 0 without one) and low_confidence: answered, and that is under least."""
+    top = pool.groupBy("qid").agg(F.max("similarity").alias("top_similarity"))
+    d = answers.join(top, "qid", "left").withColumn("top_similarity", F.coalesce("top_similarity", F.lit(0.0)))
+    return d.withColumn("low_confidence", ~F.col("refused") & (F.col("top_similarity") < least))
+
+
 def last_turns(turns: DataFrame, n: int = 2, cut: int = 300) -> DataFrame:
     """conv_id, turn, history: for each question the n question-answer pairs before it, answers cut; turns: conv_id, turn, question, answer."""
     w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(-n, -1)

@@ -6,18 +6,20 @@ import csv
 import io
 import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 EXTENSIONS = ["pdf", "docx", "txt", "md", "csv", "tsv", "xlsx", "xlsm", "xls", "png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp"]
 
 
-def scan(spark: SparkSession, root: str, extensions: list[str] = EXTENSIONS) -> DataFrame:
-    """rel_path, file_name, ext, length, content, hash of the files below root; hidden and temporary ones are skipped."""
+def scan(spark: SparkSession, root: str, extensions: list[str] | None = EXTENSIONS) -> DataFrame:
+    """rel_path, file_name, ext, length, content, hash of the files below root, with extensions=None of all kinds; hidden and
+    temporary ones are skipped, and files of no bytes, which Spark doesn't list."""
     base = root.rstrip("/") + "/"
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     tail = F.regexp_replace("path", r"^[a-z0-9]+:/*", "/")
@@ -25,7 +27,8 @@ def scan(spark: SparkSession, root: str, extensions: list[str] = EXTENSIONS) ->
     name = F.element_at(F.split("path", "/"), -1)
     ext = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
     rows = files.select(rel.alias("rel_path"), name.alias("file_name"), ext.alias("ext"), "length", "content", F.sha2("content", 256).alias("hash"))
-    return rows.where(F.col("ext").isin(extensions) & ~F.col("file_name").rlike(r"^(\.|~\$)"))
+    known = F.lit(True) if extensions is None else F.col("ext").isin(extensions)
+    return rows.where(known & ~F.col("file_name").rlike(r"^(\.|~\$)"))
 
 
 def decode(content: bytes) -> str:
@@ -85,14 +88,49 @@ def docx_blocks(content: bytes) -> list[tuple[str, str]]:
     return out
 
 
+#: Number formats of spreadsheets that are dates by definition of the format.
+_DATE_FORMATS = {14, 15, 16, 17, 18, 19, 20, 21, 22, 45, 46, 47}
+
+
+def _date_styles(z: zipfile.ZipFile) -> set[int]:
+    """Numbers of the cell styles that show a number as a date or time."""
+    if "xl/styles.xml" not in z.namelist():
+        return set()
+    root = ElementTree.fromstring(z.read("xl/styles.xml"))
+    dates = set(_DATE_FORMATS)
+    for f in root.iter(f"{_S}numFmt"):
+        code = re.sub(r'"[^"]*"|\\.|\[[^\]]*\]', "", f.get("formatCode") or "")
+        if code.lower() != "general" and re.search("[ymdhs]", code, re.IGNORECASE):
+            dates.add(int(f.get("numFmtId")))
+    styles = root.find(f"{_S}cellXfs")
+    return {i for i, x in enumerate(styles if styles is not None else ()) if int(x.get("numFmtId") or 0) in dates}
+
+
+def format_cell(text: str, kind: str | None, dated: bool, epoch: datetime) -> str:
+    """A cell as text: a date as dd.mm.yyyy, whole numbers without decimals, others with a comma."""
+    if kind == "b":
+        return {"1": "True", "0": "False"}.get(text, text)
+    if kind == "d" and text:
+        return datetime.fromisoformat(text.replace("Z", "")).strftime("%d.%m.%Y")
+    if kind not in (None, "n") or not text:
+        return text
+    x = float(text)
+    if dated:
+        # the format counts a 29 February 1900, so days before it are one late
+        return (epoch + timedelta(days=x + (epoch.year == 1899 and x < 60))).strftime("%d.%m.%Y")
+    return str(int(x)) if x.is_integer() else repr(x).replace(".", ",")
+
+
 def xlsx_rows(content: bytes) -> list[tuple[str, list[list[str]]]]:
     """(sheet, rows) of visible sheets; values, not formulas; merged ranges filled from their first cell; blank rows dropped."""
     with zipfile.ZipFile(io.BytesIO(content)) as z:
         names = set(z.namelist())
         strings = ["".join(t.text or "" for t in si.iter(f"{_S}t")) for si in ElementTree.fromstring(z.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
         rels = {r.get("Id"): r.get("Target") for r in ElementTree.fromstring(z.read("xl/_rels/workbook.xml.rels"))}
-        out = []
-        for sheet in ElementTree.fromstring(z.read("xl/workbook.xml")).iter(f"{_S}sheet"):
+        out, dates, book = [], _date_styles(z), ElementTree.fromstring(z.read("xl/workbook.xml"))
+        late = any(p.get("date1904") in ("1", "true") for p in book.iter(f"{_S}workbookPr"))
+        epoch = datetime(1904, 1, 1) if late else datetime(1899, 12, 30)
+        for sheet in book.iter(f"{_S}sheet"):
             if sheet.get("state", "visible") != "visible":
                 continue
             target = rels[sheet.get(f"{_R}id")]
@@ -101,10 +139,7 @@ def xlsx_rows(content: bytes) -> list[tuple[str, list[list[str]]]]:
             for c in root.iter(f"{_S}c"):
                 v, kind = c.find(f"{_S}v"), c.get("t")
                 text = "".join(t.text or "" for t in c.iter(f"{_S}t")) if kind == "inlineStr" else "" if v is None else v.text or ""
-                text = strings[int(text)] if kind == "s" and text else {"1": "True", "0": "False"}.get(text, text) if kind == "b" else text
-                if kind in (None, "n") and text:
-                    x = float(text)
-                    text = str(int(x)) if x.is_integer() else repr(x).replace(".", ",")
+                text = strings[int(text)] if kind == "s" and text else format_cell(text, kind, int(c.get("s") or 0) in dates, epoch)
                 cells[_cell(c.get("r"))] = text.strip()
             for m in root.iter(f"{_S}mergeCell"):
                 (r1, c1), (r2, c2) = map(_cell, m.get("ref").split(":"))
@@ -176,3 +211,37 @@ def pages(files: DataFrame, extract) -> DataFrame:
             yield pd.DataFrame(out, columns=["doc", "page", "text"])
 
     return files.select("rel_path", "content").mapInPandas(go, "doc string, page int, text string")
+
+
+#: Which reader takes a file, by extension.
+FAMILIES = {"txt": "text", "md": "text", "csv": "table", "tsv": "table", "xlsx": "table", "xlsm": "table", "docx": "document", "pdf": "pages", **dict.fromkeys(("png", "jpg", "jpeg", "tif", "tiff", "bmp", "webp"), "pages")}
+
+
+def load(files: DataFrame, extract: Callable[[bytes], list[str]] | None = None) -> tuple[DataFrame, DataFrame]:
+    """(blocks, failed) of files of any kind, each by the reader of its extension.
+
+    blocks: rel_path, ord, page (null but for pages), locator, text, is_row; failed: rel_path, error (`unsupported` for an
+    extension without a reader, pdf and images without extract among them; `no_content` for a file that gave nothing).
+    """
+    from ..operators import chunking
+
+    family = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in FAMILIES.items() for x in kv]), F.col("ext")), F.lit("none"))
+    routed = files.withColumn("family", family)
+    no_page = F.lit(None).cast("int").alias("page")
+    parts = [chunking.text_blocks(texts(files)).select("rel_path", F.col("ord").cast("long").alias("ord"), no_page, "locator", "text", F.lit(False).alias("is_row"))]
+    docs = document_blocks(files)
+    parts.append(docs.select("rel_path", "ord", no_page, F.concat(F.lit("Bölüm "), "ord").alias("locator"), "text", F.lit(False).alias("is_row")))
+    rows = table_rows(files).withColumn("line", F.array_join("cells", " | "))
+    tables = chunking.table_blocks(rows.select("rel_path", "sheet", "rn", "line"), ["line"], ["rel_path", "sheet"], "rn")
+    place = F.concat(F.when(F.col("sheet") != "", F.concat("sheet", F.lit(" "))).otherwise(""), F.lit("Satır "), F.col("start").cast("string"))
+    order = F.row_number().over(Window.partitionBy("rel_path").orderBy("sheet", "start")).cast("long")
+    parts.append(tables.select("rel_path", order.alias("ord"), no_page, place.alias("locator"), "text", F.lit(True).alias("is_row")))
+    taken = [k for k, v in FAMILIES.items() if v != "pages" or extract]
+    if extract:
+        paged = pages(routed.where("family = 'pages'"), extract).where(F.length(F.trim("text")) > 0)
+        parts.append(paged.select(F.col("doc").alias("rel_path"), F.col("page").cast("long").alias("ord"), "page", F.concat(F.lit("Sayfa "), "page").alias("locator"), "text", F.lit(False).alias("is_row")))
+    blocks = parts[0]
+    for p in parts[1:]:
+        blocks = blocks.unionByName(p)
+    none = routed.where(~F.col("ext").isin(taken)).select("rel_path", F.lit("unsupported").alias("error"))
+    return blocks, none.unionByName(failures(routed.where(F.col("ext").isin(taken)), blocks))

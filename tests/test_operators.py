@@ -1,9 +1,11 @@
 import io
 import zipfile
+from datetime import datetime
 
 import pytest
 from pyspark.sql import functions as F
 
+from quernel.functions import fixed
 from quernel.operators import chunking, context, evaluate, index, ingest, search, tools, verify
 from quernel.sources import files as src
 from quernel.streaming import refresh
@@ -33,7 +35,7 @@ def test_answers_that_stand(spark):
 
 def test_answers_that_fall(spark):
     rows = [
-        ("", SOURCE, "x"), (verify.REFUSAL, SOURCE, "x"), ("Süre 36 aydır [K7].", SOURCE, "x"), ("Süre 36 aydır.", SOURCE, "x"),
+        ("", SOURCE, "x"), (fixed.REFUSAL, SOURCE, "x"), ("Süre 36 aydır [K7].", SOURCE, "x"), ("Süre 36 aydır.", SOURCE, "x"),
         ("Süre 48 aydır [K1].", SOURCE, "Süre nedir?"), ("Depo görevlisi sayısı kaç kişidir [K1]?", SOURCE, "Depo görevlisi sayısı kaç kişidir?"),
         ("Bu bilgiler [K1] kaynağından elde edilmiştir.", SOURCE, "x"), ("Kısa bir söz. [K1] Toplam 36 ay sürer ve bundan sonra yenilenir.", SOURCE, "x"),
     ]
@@ -222,3 +224,64 @@ def test_cases_from_yaml(spark, tmp_path):
     files = src.scan(spark, str(tmp_path), ["yaml"])
     got = evaluate.read_cases(spark, files).orderBy("question").collect()
     assert [(r.question, r.type, r.expect_keywords) for r in got] == [("Kaç gün?", "answerable", ["5"]), ("Yok?", "must_refuse", None)]
+
+
+def test_ingest_end_to_end(spark, tmp_path):
+    root, folder = tmp_path / "files", str(tmp_path / "collection")
+    (root / "sub").mkdir(parents=True)
+    long = " ".join(f"kelime{i}" for i in range(60))
+    (root / "a.txt").write_text(f"MADDE 1\n{long}", encoding="utf-8")
+    (root / "sub" / "b.csv").write_text("ad;tutar\nbir;1,5\niki;2,5\n", encoding="utf-8")
+    (root / "c.xyz").write_bytes(b"?")
+    (root / "d.txt").write_text(" \n", encoding="utf-8")
+    (root / "e.pdf").write_bytes(b"p1|p2|p3|p4")
+    page = lambda i: f"KURUM BELGE BAŞLIĞI\n{long} sayfa metni {chr(97 + i) * 5}\nson"
+    extract = lambda content: [page(i) for i, _ in enumerate(content.split(b"|"))]
+    r = ingest.run(spark, str(root), folder, extract).first()
+    assert (r.added, r.updated, r.removed) == (["a.txt", "c.xyz", "d.txt", "e.pdf", "sub/b.csv"], [], [])
+    assert {f.rel_path: f.error for f in r.failed} == {"c.xyz": "unsupported", "d.txt": "no_content"}
+    table = ingest.collection(spark, folder)
+    first = {x.source_path: x for x in table.orderBy("chunk_index").collect()}
+    assert r.chunks_written == table.count() and first.keys() == {"a.txt", "e.pdf", "sub/b.csv"} and table.where("source_path = 'sub/b.csv'").count() == 2
+    assert first["e.pdf"].page == 4 and not table.where("text like '%BELGE BAŞLIĞI%'").count() and first["a.txt"].section == "MADDE 1"
+    r = ingest.run(spark, str(root), folder, extract).first()
+    assert r.unchanged == ["a.txt", "e.pdf", "sub/b.csv"] and r.chunks_written == 0 and r.added == ["c.xyz", "d.txt"]
+    (root / "a.txt").write_text(f"yeni {long}", encoding="utf-8")
+    (root / "sub" / "b.csv").unlink()
+    (root / "e.pdf").write_bytes(b"x")
+    r = ingest.run(spark, str(root), folder, lambda content: []).first()
+    assert (r.updated, r.removed) == (["a.txt", "e.pdf"], ["sub/b.csv"]) and "e.pdf" in {f.rel_path for f in r.failed}
+    now = ingest.collection(spark, folder)
+    assert {x.source_path for x in now.collect()} == {"a.txt", "e.pdf"} and now.where("source_path = 'a.txt'").first().text.startswith("yeni")
+    assert ingest.published(spark, folder) == [1, 2, 3] and ingest.last_report(spark, f"{folder}/v=3/report").first().removed == ["sub/b.csv"]
+    assert len(ingest.run(spark, str(root), folder, extract, reset=True).first().added) == 4
+
+
+def test_sinks(spark, tmp_path):
+    assert ingest.read_manifest(spark, str(tmp_path / "none")).count() == 0
+    ingest.write_manifest(spark.createDataFrame([("a", "h", 2, 1)], "rel_path string, hash string, chunks long, pages int"), str(tmp_path / "m"))
+    assert ingest.read_manifest(spark, str(tmp_path / "m")).first().chunks == 2
+    (tmp_path / "bad.json").write_text('{"rel_path": "a", "hash": "h"}\n{"rel_pa')
+    assert ingest.read_manifest(spark, str(tmp_path / "bad.json")).count() == 0
+    answers = spark.createDataFrame([("q", True, "empty", 0.51239, ["s"], "x", 1.0)], "question string, refused boolean, reason string, top_similarity double, sources array<string>, answer string, elapsed_s double")
+    assert ingest.append_audit(answers, str(tmp_path / "audit")) and ingest.append_audit(answers, str(tmp_path / "audit"))
+    lines = spark.read.json(str(tmp_path / "audit"))
+    assert lines.count() == 2 and lines.first().top_similarity == 0.5124
+    assert not ingest.append_audit(answers, str(tmp_path / "bad.json" / "below"))
+
+
+def test_prompts_and_confidence(spark):
+    rows = spark.createDataFrame([(1, 1, "a.txt", "Sayfa 1", "", "metin {question}"), (1, 2, "b.txt", None, "II", "x" * 9000)], "qid int, final_rank int, source string, locator string, section string, text string")
+    asked = spark.createDataFrame([(1, " ne? "), (2, "kim?")], "qid int, question string")
+    got = {r.qid: r.prompt for r in context.prompts(rows, asked, template="{count}|{context}|{question}|{refusal}", refusal="yok").collect()}
+    assert got == {1: "2|[K1] Belge: a.txt | Konum: Sayfa 1\n---\nmetin {question}\n---|ne?|yok", 2: "0||kim?|yok"}
+    pool = spark.createDataFrame([(1, 0.2), (1, 0.54), (2, 0.55)], "qid int, similarity double")
+    answers = spark.createDataFrame([(1, False), (2, False), (3, True), (4, False)], "qid int, refused boolean")
+    assert {r.qid: (r.top_similarity, r.low_confidence) for r in context.confidence(pool, answers).collect()} == {1: (0.54, True), 2: (0.55, False), 3: (0.0, False), 4: (0.0, True)}
+
+
+def test_cells():
+    e = datetime(1899, 12, 30)
+    got = [src.format_cell(*x, e) for x in [("45291", None, True), ("45291.75", "n", True), ("1", "n", True), ("61", None, True), ("45291", None, False), ("1490.5", "n", False), ("1", "b", False), ("2024-02-29T00:00:00Z", "d", False), ("", None, True)]]
+    assert got == ["31.12.2023", "31.12.2023", "01.01.1900", "01.03.1900", "45291", "1490,5", "True", "29.02.2024", ""]
+    assert src.format_cell("0", None, True, datetime(1904, 1, 1)) == "01.01.1904"
