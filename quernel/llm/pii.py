@@ -8,7 +8,8 @@ good as the mean confidence of its instances, an instance as good as the chance
 patterns err, seeds count 1. Patterns of a confidence of at least `least` for a kind, with at least `support`
 distinct seeds or instances that other good patterns of that kind found, find the identifiers that no base pattern
 sees; those are added, of the pattern's kind, where they don't overlap a base span. A pattern takes the kind it is
-most confident of (of equals the first by name), anew in each of the `rounds` rounds.
+most confident of (of equals the first by name), anew in each round; rounds go on until patterns and their confidences
+stay (`rounds` at most, should kinds take turns for ever).
 
 Positions are code points, ends exclusive. Defined results: null is an empty text, without spans; texts are
 scanned whole at linear cost; rows alike get results alike and count once as evidence, since instances are
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, materialise
+from ._common import arrow_map, lookup, materialise
 
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -132,7 +133,7 @@ def scan(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFra
     return arrow_map(rows, go, f"doc_id long, h long, base array<struct<kind:string,start:long,end:long>>, mentions array<{_MENTION}>")
 
 
-def bootstrap(graph: DataFrame, support: int = 4, least: float = 0.8, rounds: int = 3) -> DataFrame:
+def bootstrap(graph: DataFrame, support: int = 4, least: float = 0.8, rounds: int = 25) -> DataFrame:
     """pattern, kind, confidence of the patterns that pass; graph: distinct (pattern, value, kind or null)."""
     seeds = graph.where("kind is not null").groupBy("pattern", "kind").agg(F.count_distinct("value").alias("seeds"))
     size = materialise(graph.groupBy("pattern").agg(F.count_distinct("value").alias("n")), "sizes")
@@ -146,16 +147,21 @@ def bootstrap(graph: DataFrame, support: int = 4, least: float = 0.8, rounds: in
         return materialise(rated.withColumn("first", first).where("first = 1").drop("first"), "patterns")
 
     own = seeds.select("pattern", "kind", F.col("seeds").alias("found"), F.col("seeds").cast("double").alias("worth"))
+    state = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("pattern", "kind", F.round("confidence", 9)).cast("decimal(38,0)"))).first()
     good = best(own)
-    for _ in range(rounds):
+    now = state(good)
+    for _ in range(rounds if now[0] else 0):
         # an open instance is as good as the chance that not all of its good patterns err; with any it is at least as good as `least`
         value = open_.join(good, "pattern").groupBy("value", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("belief"))
         gained = open_.join(value, "value").groupBy("pattern", "kind").agg(F.count("*").alias("found"), F.sum("belief").alias("worth"))
         good = best(own.unionByName(gained).groupBy("pattern", "kind").agg(F.sum("found").alias("found"), F.sum("worth").alias("worth")))
+        before, now = now, state(good)
+        if now == before:
+            break
     return good
 
 
-def find(docs: DataFrame, support: int = 4, least: float = 0.8, rounds: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def find(docs: DataFrame, support: int = 4, least: float = 0.8, rounds: int = 25, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, base and spans (arrays of kind, start, end by kind as in KINDS, then start) of every row of docs."""
     scanned = materialise(scan(docs, doc_id, text), "scanned")
     seen = scanned.where(F.size("mentions") > 0).select("doc_id", "h", F.explode("mentions").alias("m")).select("doc_id", "h", "m.*")
@@ -164,7 +170,9 @@ def find(docs: DataFrame, support: int = 4, least: float = 0.8, rounds: int = 3,
     by = lambda df: df.withColumn("pattern", F.explode(F.array_compact(F.array(two, around))))
     graph = materialise(by(seen).select("pattern", "value", "kind").distinct(), "graph")
     patterns = bootstrap(graph, support, least, rounds)
-    found = by(seen.where("kind is null").drop("kind")).join(patterns, "pattern").groupBy("doc_id", "h", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
+    open_ = materialise(by(seen.where("kind is null").select("doc_id", "h", "start", "end", "w1", "w2", "after")).select("doc_id", "h", "start", "end", "pattern"), "open")
+    told = materialise(open_.groupBy("pattern").agg(F.count("*").alias("uses")).join(patterns, "pattern"), "told")
+    found = lookup(open_, told, "pattern", "uses").groupBy("doc_id", "h", "start", "end").agg(F.max_by("kind", F.struct("confidence", "kind")).alias("kind"))
     added = found.groupBy(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).agg(F.collect_list(F.struct("kind", "start", "end")).alias("added"))
     rank = lambda x: F.array_position(F.array(*map(F.lit, KINDS)), x["kind"])
     every = F.concat("base", F.coalesce("added", F.array().cast(scanned.schema["base"].dataType)))

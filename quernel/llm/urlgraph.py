@@ -6,14 +6,16 @@ over the edges between hosts that pages link, personalised PageRank carries trus
 pages forwards, and distrust from the hosts of blocked pages backwards, to those who link them. Both start
 from a host's share of all pages that rules decide, so they compare. A host is blocked where its distrust is
 above zero and at least `ratio` times its trust; a host that neither reaches is allowed. Rounds go on until ranks settle.
+What reaches a host without links of its own ends there and is not dealt out again, for trust and distrust alike.
 
 Everything is DataFrame functions. Ranks are tables by host, written after every few rounds; pages are joined
 once, by host, with what is known of it.
 
 Defined results: a null url, or one without '://', has empty host and path and is allowed, since no rule has
 an empty host; null html has no links; repeated rows are judged alike; an empty table gives an empty
-result; empty rules leave everything allowed; links of a host to itself don't count; further columns are not
-looked at.
+result; empty rules leave everything allowed; links of a host to itself don't count; a linked host's port and user
+are left out, a page's host is taken as it stands in its url; texts of any length are searched for links; further columns
+are not looked at.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import materialise
+from ._common import drop, lookup, materialise
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 LINK = r"(?i)(?:href|src)\s*=\s*[\"']?\s*(?:[a-z][a-z0-9+.\-]*:)?//([^/?#\"'\s<>\\]+)"
@@ -82,13 +84,15 @@ def judge(pages: DataFrame, rules: DataFrame, ratio: float = 2.0, damping: float
     """page_id, host, path, rule, verdict, trust and distrust (of the host) of every row of pages."""
     host, path = host_path(F.col(url))
     parsed = materialise(pages.select(F.col(page_id).alias("page_id"), host.alias("host"), path.alias("path")), "parsed")
-    hosts = parsed.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages"))
+    hosts = materialise(parsed.where("host <> ''").groupBy("host").agg(F.count("*").alias("pages")), "hosts")
     rule = rules.where("host is not null and path is not null").select(F.translate("host", _UPPER, _LOWER).alias("domain"), F.col("path").alias("rule_path"), "verdict")
     rule = F.broadcast(rule) if rules.limit(broadcast_rules + 1).count() <= broadcast_rules else rule
     # the rules of a host's domains, as many as the list has for them
     fitting = hosts.select("host", F.explode(_suffixes(F.col("host"))).alias("domain")).join(rule, "domain").groupBy("host").agg(F.collect_set(F.struct((F.length("domain") + F.length("rule_path")).alias("n"), F.length("domain").alias("m"), "domain", "rule_path", "verdict")).alias("rules"))
     best = F.array_max(F.filter(F.coalesce("rules", F.array().cast(fitting.schema["rules"].dataType)), lambda r: F.startswith(F.col("path"), r["rule_path"])))
-    ruled = materialise(parsed.join(fitting, "host", "left").withColumn("best", best).select("page_id", "host", "path", F.concat("best.domain", "best.rule_path").alias("rule"), F.col("best.verdict").alias("rule_verdict")), "ruled")
+    # a hot host's pages stay where they are, see lookup
+    fitting = materialise(fitting.join(hosts, "host"), "fitting")
+    ruled = materialise(lookup(parsed, fitting, "host", "pages", "left").withColumn("best", best).select("page_id", "host", "path", F.concat("best.domain", "best.rule_path").alias("rule"), F.col("best.verdict").alias("rule_verdict")), "ruled")
     decided = ruled.where("rule is not null").groupBy("host").agg(F.count_if(F.col("rule_verdict") == "allow").alias("good"), F.count_if(F.col("rule_verdict") == "block").alias("bad"))
     total = decided.agg((F.sum("good") + F.sum("bad")).cast("double").alias("total"))  # one row
     seeds = materialise(decided.crossJoin(F.broadcast(total)).select("host", (F.col("good") / F.col("total")).alias("good"), (F.col("bad") / F.col("total")).alias("bad")), "seeds")
@@ -100,6 +104,7 @@ def judge(pages: DataFrame, rules: DataFrame, ratio: float = 2.0, damping: float
         trust = propagate(materialise(share("src", "dst"), "forward"), seeds.select("host", F.col("good").alias("seed")), damping, rounds)
         distrust = propagate(materialise(share("dst", "src"), "backward"), seeds.select("host", F.col("bad").alias("seed")), damping, rounds)
     scores = trust.withColumnRenamed("rank", "trust").join(distrust.withColumnRenamed("rank", "distrust"), "host", "full_outer").select("host", F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
-    known = hosts.select("host").join(scores, "host", "left")
+    known = materialise(hosts.join(scores, "host"), "known")
     spread = F.when((F.coalesce("distrust", F.lit(0.0)) > 0) & (F.col("distrust") >= ratio * F.col("trust")), "block").otherwise("allow")
-    return ruled.join(known, "host", "left").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", spread).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
+    drop(parsed, fitting)
+    return lookup(ruled, known, "host", "pages", "left").select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", spread).alias("verdict"), F.coalesce("trust", F.lit(0.0)).alias("trust"), F.coalesce("distrust", F.lit(0.0)).alias("distrust"))
