@@ -77,5 +77,28 @@ SELECT doc_id, len(s)::BIGINT AS n_shingles, least(doc_id, coalesce(b, doc_id))
 """
 
 
+#: All pairs of usable vectors by cosine in double precision, and the closure of their links; small tables only.
+_PIVOTS = """
+WITH RECURSIVE v AS (SELECT vec_id, row_number() OVER () AS k, embedding::DOUBLE[] AS e FROM embeddings),
+g AS (SELECT vec_id, k, e, sqrt(list_dot_product(e, e)) AS n, len(e) AS d FROM v
+  WHERE vec_id IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.k AS a, b.k AS b, b.vec_id AS bv FROM g a JOIN g b ON a.k <> b.k AND a.d = b.d WHERE list_dot_product(a.e, b.e) / (a.n * b.n) >= 0.9),
+r AS (SELECT a, b, bv FROM p UNION SELECT r.a, p.b, p.bv FROM r JOIN p ON r.b = p.a),
+l AS (SELECT a, count(*) AS n_links FROM p GROUP BY a), c AS (SELECT a, min(bv) AS least FROM r GROUP BY a),
+o AS (SELECT vec_id, coalesce(n_links, 0)::BIGINT AS n_links, least(vec_id, coalesce(least, vec_id)) AS component_id FROM v LEFT JOIN l ON v.k = l.a LEFT JOIN c ON v.k = c.a)
+SELECT *, coalesce(vec_id = component_id, FALSE) AS kept FROM o
+"""
+
+#: Digests in base 32 by five bits of each two hexadecimal digits; of equal payloads the largest page_id is the response.
+_WARC = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h FROM pages),
+d AS (SELECT page_id, octet_length(encode(html)) AS n, max(page_id) OVER (PARTITION BY h) AS newest,
+  array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((((instr('0123456789abcdef', h[(5 * i) // 4 + 1]) - 1) * 16
+  + instr('0123456789abcdef', h[(5 * i) // 4 + 2]) - 1) >> (3 - (5 * i) % 4)) & 31)::BIGINT, 1)), '') AS digest FROM p)
+SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN page_id IS DISTINCT FROM newest AND newest IS NOT NULL THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN page_id IS DISTINCT FROM newest AND newest IS NOT NULL THEN newest END AS refers_to FROM d
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard": _JACCARD}
+    return {"op5_jaccard": _JACCARD, "op9_pivots": _PIVOTS, "op10_warc": _WARC}

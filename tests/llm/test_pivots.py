@@ -62,3 +62,18 @@ def test_first_lists():
     first, second = pivots.first_lists(a, b, 3)
     for x, y, p, q in zip(a.tolist(), b.tolist(), first, second, strict=True):
         assert (p, q) == min(lists(x) & lists(y), default=(-1, -1))
+
+
+def test_oracle_with_planted_links(spark):
+    duckdb = pytest.importorskip("duckdb")
+    from quernel.llm import queries
+
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(6, 16))
+    rows = [(i, [float(t) for t in base[i % 6] + rng.normal(size=16) * rng.choice([0.02, 0.1])]) for i in range(60)] + [(60, None), (61, [0.0] * 16), (3, [float(t) for t in base[3]])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    c = duckdb.connect()
+    c.register("embeddings", df.toArrow())
+    want = sorted(c.sql(queries.oracle_sql()["op9_pivots"]).fetchall())
+    got = sorted(tuple(r) for r in pivots.near_duplicates(df).select("vec_id", "n_links", "component_id", "kept").collect())
+    assert got == want and sum(r[1] for r in got) > 100
