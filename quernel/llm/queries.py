@@ -100,5 +100,22 @@ SELECT page_id, n::BIGINT AS payload_bytes, digest AS payload_digest, CASE WHEN
 """
 
 
+#: Hexadecimal windows of 400 bytes, cut from blocks of 512 places; those found twice, their runs, and what stays between runs.
+_SUFFIX = """
+WITH d AS (SELECT row_number() OVER () AS k, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+n AS (SELECT *, length(x) // 2 AS n FROM d),
+p AS (SELECT k, n, o, substr(x, 2 * o + 1, 1822) AS y FROM (SELECT k, n, x, unnest(range(0, n - 399, 512)) AS o FROM n WHERE n >= 400)),
+w AS (SELECT k, o + j AS i, md5_number(substr(y, 2 * j + 1, 800)) AS h FROM (SELECT k, o, y, unnest(range(least(512, n - 399 - o))) AS j FROM p)),
+s AS (SELECT k, i FROM (SELECT k, i, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
+g AS (SELECT k, i, i - lag(i) OVER (PARTITION BY k ORDER BY i) AS step FROM s),
+b AS (SELECT k, i, sum(CASE WHEN step <= 400 THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY i) AS run FROM g),
+r AS (SELECT k, run, min(i) AS lo, max(i) + 400 AS hi FROM b GROUP BY k, run),
+a AS (SELECT k, list(lo ORDER BY lo) AS lo, list(hi ORDER BY lo) AS hi, sum(hi - lo) AS gone FROM r GROUP BY k)
+SELECT doc_id, n::BIGINT AS n_bytes, coalesce(gone, 0)::BIGINT AS n_removed, coalesce(len(lo), 0)::BIGINT AS n_spans,
+  sha256(unhex(CASE WHEN lo IS NULL THEN x ELSE array_to_string(list_transform(range(len(lo) + 1), lambda j: substr(x, 2 * (CASE WHEN j = 0 THEN 0 ELSE hi[j] END) + 1, 2 * ((CASE WHEN j = len(lo) THEN n ELSE lo[j + 1] END) - (CASE WHEN j = 0 THEN 0 ELSE hi[j] END)))), '') END)) AS kept_sha256
+FROM n LEFT JOIN a USING (k)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op5_jaccard": _JACCARD, "op9_pivots": _PIVOTS, "op10_warc": _WARC}
+    return {"op5_jaccard": _JACCARD, "op6_suffix_dedup": _SUFFIX, "op9_pivots": _PIVOTS, "op10_warc": _WARC}
