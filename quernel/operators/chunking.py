@@ -106,7 +106,7 @@ def strip_boilerplate(pages: DataFrame, found: DataFrame, ends: int = 3) -> Data
     """pages with those lines dropped from the first and last lines of each page; text in between stays."""
     sets = found.groupBy("doc").agg(F.collect_set("line").alias("_bp"))
     lines = F.regexp_replace("text", "\r\n?", "\n")
-    p = pages.join(sets, "doc", "left").withColumn("_l", F.split(F.regexp_replace(lines, "\n$", ""), "\n"))
+    p = pages.join(sets, "doc", "left").withColumn("_l", F.split(F.regexp_replace(lines, r"\n\z", ""), "\n"))
     drop = lambda x, i: ((i < ends) | (i >= F.size("_l") - ends)) & (T.trim(x) != "") & F.array_contains("_bp", T.norm_line(x))
     kept = T.trim(F.array_join(F.filter("_l", lambda x, i: ~drop(x, i)), "\n"))
     return p.withColumn("text", F.when(F.col("_bp").isNull(), F.col("text")).otherwise(kept)).drop("_bp", "_l")

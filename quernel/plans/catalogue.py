@@ -306,7 +306,12 @@ def _(spark, sf_dir):
 ECHOES = [("Süre kaç gündür belirtilen işte? Süre 5 gündür [K1].", "Süre kaç gündür belirtilen işte"), ("İş süresi 36 aydır [K1].", "İş süresi kaç aydır"), ("Kısa.", "Kısa"), ("Depo görevlisi sayısı [K1]? Üç kişidir [K1].", "Depo görevlisi sayısı kaçtır")]
 
 
-@query("question_echo")
+_ECHO = f"""WITH e AS (SELECT a, q, list_distinct({Q.content_terms(Q.strip_citations('q'))}) AS asked, {Q.sentences('a')}[1] AS first FROM {values(*ECHOES)} v(a, q)),
+t AS (SELECT *, {Q.content_terms(Q.strip_citations('first'))} AS terms FROM e)
+SELECT a, q, CASE WHEN first IS NOT NULL AND len(asked) >= 3 AND len(terms) >= 3 AND list_has_all(asked, terms) THEN {Q.trim('substr(a, instr(a, first) + length(first))')} ELSE a END AS rest FROM t"""
+
+
+@query("question_echo", _ECHO)
 def _(spark, sf_dir):
     return literals(spark, *ECHOES, names="a q").select("a", "q", verify.strip_echo(F.col("a"), F.col("q")).alias("rest"))
 
@@ -334,7 +339,7 @@ def _(spark, sf_dir):
 HEADS = [("MADDE 9\nmetin",), ("giriş metni burada\n3.1 Kapsam ve Tanımlar\nx",), ("GENEL HÜKÜMLER\nx",), ("küçük harf\nabc\nd\nBÖLÜM II",), ("Bölüm IV\nx",), ("12",)]
 
 
-@query("detect_heading_literals")
+@query("detect_heading_literals", f"SELECT x, {Q.heading('x')} AS heading FROM {values(*HEADS)} v(x)")
 def _(spark, sf_dir):
     return literals(spark, *HEADS, names="x").select("x", T.detect_heading("x").alias("heading"))
 
@@ -374,7 +379,7 @@ def _(spark, sf_dir):
 LINES = [("Ocak 2024 1.490,00 TL",), ("Personel 38 kişi 12 ay 5 gün",), ("Toplam 145,00",), ("Sözleşme genel hükümleri",), ("05/2021 12",), ("madde 9.2 uygulanır",), ("a",)]
 
 
-@query("table_rows_literals")
+@query("table_rows_literals", f"SELECT x, {Q.table_row('x')} AS is_row FROM {values(*LINES)} v(x)")
 def _(spark, sf_dir):
     return literals(spark, *LINES, names="x").select("x", T.is_table_row("x").alias("is_row"))
 
@@ -396,13 +401,30 @@ def _(spark, sf_dir):
     return chunking.boilerplate(_host_pages(spark, sf_dir))
 
 
-@query("boilerplate_strip")
+_STRIP = f"""WITH {_BP}, m AS (SELECT doc, list(line) AS lines FROM bp GROUP BY doc),
+x AS (SELECT pg.doc, page, text, lines, string_split(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '\\n$', ''), chr(10)) AS l FROM pg LEFT JOIN m ON pg.doc = m.doc),
+k AS (SELECT *, list_filter(l, lambda s, i: NOT ((i <= 3 OR i > len(l) - 3) AND {Q.trim('s')} <> '' AND list_contains(lines, {_NORM('s')}))) AS kept FROM x)
+SELECT doc, page, CASE WHEN lines IS NULL THEN text ELSE {Q.trim('array_to_string(kept, chr(10))')} END AS text FROM k"""
+
+
+@query("boilerplate_strip", _STRIP)
 def _(spark, sf_dir):
     pages = _host_pages(spark, sf_dir)
     return chunking.strip_boilerplate(pages, chunking.boilerplate(pages)).select("doc", "page", "text")
 
 
-@query("ocr_quality")
+# runs of word characters stand for the look-around of the patterns; white space is Unicode's
+_OCR = rf"""WITH t AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '^[\s\p{{Z}}\x0B\x{{85}}]+|[\s\p{{Z}}\x0B\x{{85}}]+$', '', 'g') AS t FROM documents),
+w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\s\p{{Z}}\x0B\x{{85}}]+') AS words, regexp_extract_all(t, '[\p{{L}}\p{{M}}\p{{N}}\p{{Pc}}]+') AS runs FROM t),
+c AS (SELECT doc_id, t, greatest(len(words), 1)::DOUBLE AS n, greatest(length(t), 1)::DOUBLE AS size, len(list_filter(runs, lambda r: length(r) >= 4 AND regexp_matches(r, '[A-Za-zÇĞİÖŞÜçğıöşü]') AND regexp_matches(r, '[0-9]'))) AS glued,
+  len(regexp_extract_all(t, '[0-9]{{6,}}')) AS longs, len(regexp_extract_all(t, {Q.quote(X.ODD)})) AS odd, len(list_filter(words, lambda x: length(x) <= 2 AND regexp_matches(x, '\p{{L}}'))) AS tiny,
+  len(list_filter(runs, lambda r: regexp_full_match(r, '[A-Za-zÇĞİÖŞÜçğıöşü]'))) AS single FROM w),
+l AS (SELECT doc_id, length(t) < 40 AS short, [CASE WHEN glued / n > 0.02::DOUBLE THEN least(0.35::DOUBLE, glued / n * 5) END, CASE WHEN longs > 0 THEN least(0.4::DOUBLE, 0.25::DOUBLE * longs) END,
+  CASE WHEN odd / size > 0.004::DOUBLE THEN least(0.3::DOUBLE, odd / size * 30) END, CASE WHEN tiny / n > 0.12::DOUBLE THEN least(0.25::DOUBLE, tiny / n * 1.2::DOUBLE) END, CASE WHEN single >= 2 THEN least(0.2::DOUBLE, 0.05::DOUBLE * single) END] AS p FROM c)
+SELECT doc_id, round(CASE WHEN short THEN 1.0::DOUBLE ELSE greatest(0.0::DOUBLE, 1 - coalesce(list_sum(p), 0)) END, 6) AS score, CASE WHEN short THEN '' ELSE array_to_string(list_filter(list_transform(['glued', 'long_digits', 'odd', 'fragments', 'lone_letters'], lambda k, i: CASE WHEN p[i] IS NOT NULL THEN k END), lambda k: k IS NOT NULL), ',') END AS issues FROM l"""
+
+
+@query("ocr_quality", _OCR)
 def _(spark, sf_dir):
     score, issues = T.assess_quality("text")
     return table(spark, sf_dir, "documents").select("doc_id", F.round(score, 6).alias("score"), F.array_join(issues, ",").alias("issues"))
@@ -521,7 +543,15 @@ def _(spark, sf_dir):
 CASES = [("answerable", False, "süre 36 aydır", "a.pdf", "36", "", "a.pdf", "30"), ("answerable", False, "süre 30 aydır", "a.pdf", "36", "", "b.pdf", "30"), ("must_refuse", False, "x", "a.pdf", "", "", "", ""), ("trap", True, "", "", "", "", "", ""), ("answerable", True, "", "", "", "", "", "")]
 
 
-@query("case_verdict")
+_VERDICT = f"""WITH d AS (SELECT *, {Q.eval_normalize('answer')} AS t, {Q.eval_normalize('s')} AS files FROM {values(*CASES)} v(type, refused, answer, s, k, a, src, f)),
+i AS (SELECT type, refused, answer, CASE WHEN type = 'must_refuse' THEN [CASE WHEN NOT refused THEN 'should_refuse' END] WHEN refused THEN [CASE type WHEN 'trap' THEN 'trap_refused' ELSE 'false_refusal' END]
+  ELSE [CASE WHEN k <> '' AND NOT {Q.value_in('t', 'k')} THEN 'missing:' || k END, CASE WHEN a <> '' AND NOT {Q.value_in('t', 'a')} THEN 'none_of_expected' END, CASE WHEN src <> '' AND NOT contains(files, {Q.eval_normalize('src')}) THEN 'missing_source' END,
+  CASE WHEN f <> '' AND {Q.value_in('t', 'f')} THEN 'forbidden:' || f END, CASE WHEN s = '' THEN 'no_sources' END] END AS raw FROM d),
+o AS (SELECT *, list_filter(raw, lambda x: x IS NOT NULL) AS issues FROM i)
+SELECT type, refused, answer, len(issues) = 0 OR (type = 'trap' AND refused) AS passed, array_to_string(issues, ',') AS issues FROM o"""
+
+
+@query("case_verdict", _VERDICT)
 def _(spark, sf_dir):
     d = literals(spark, *CASES, names="type refused answer s k a expect_source f")
     arr = lambda c: F.when(F.col(c) == "", F.array().cast("array<string>")).otherwise(F.array(c))

@@ -71,6 +71,33 @@ def sentences(x: str) -> str:
     return rf"flatten(list_transform(list_filter(list_transform(string_split(coalesce({x}, ''), chr(10)), lambda a: {trim('a')}), lambda a: a <> ''), lambda l: CASE WHEN regexp_matches(l, '^(?:[-*•]|[0-9]+[.)])\s+') THEN [l] ELSE list_filter(list_transform({cut}, lambda p: {trim('p')}), lambda p: p <> '') END))"
 
 
+def eval_normalize(x: str) -> str:
+    return f"replace(replace(lower(coalesce({x}, '')), 'i̇', 'i'), 'İ', 'i')"
+
+
+def value_in(t: str, e: str) -> str:
+    """Borders are taken into the match, since DuckDB's patterns have no look-around."""
+    number = rf"regexp_matches({t}, '(^|[^0-9.,])' || regexp_replace({e}, '[.]', '\\.', 'g') || '($|[^0-9])')"
+    return f"CASE WHEN {e} = '' THEN FALSE WHEN regexp_full_match({e}, '[0-9.,:%/-]+') THEN {number} ELSE contains({t}, {eval_normalize(e)}) END"
+
+
+def table_row(x: str) -> str:
+    """A number starts only where a run of word characters, points and commas does, so each run counts once at most."""
+    word = r"\p{L}\p{M}\p{N}\p{Pc}"
+    number = rf"^(?:[0-9]{{1,3}}(?:\.[0-9]{{3}})+(?:,[0-9]+)?|[0-9]+(?:,[0-9]+)?)(?:$|[^{word}])"
+    day, month = "[0-9]{1,2}[./-][0-9]{1,2}[./-][0-9]{2,4}", rf"(?:{X.MONTH_NAMES})\s*[/-]?\s*[0-9]{{4}}|[0-9]{{4}}\s+(?:{X.MONTH_NAMES})"
+    period = rf"(?i)(?:^|[^{word}])(?:{day}|[0-9]{{4}}[-/.][0-9]{{1,2}}|[0-9]{{1,2}}[-/.][0-9]{{4}}|{month})(?:$|[^{word}])"
+    n = f"len(list_filter(regexp_extract_all({x}, '[{word}.,]+'), lambda r: regexp_matches(r, {quote(number)})))"
+    amount = rf"len(regexp_extract_all({x}, '[^\s\p{{Z}}]+')) <= 10 AND regexp_matches({x}, '[0-9],[0-9]{{2}}(?:$|[^{word}])')"
+    return f"length({x}) BETWEEN 4 AND 220 AND ((regexp_matches({x}, {quote(period)}) AND {n} >= 1) OR {n} >= 3 OR ({n} >= 1 AND {amount}))"
+
+
+def heading(x: str) -> str:
+    lines = f"list_transform(string_split(coalesce({x}, ''), chr(10))[1:3], lambda l: {trim('l')})"
+    upper = "(l = upper(l) AND lower(l) <> l AND length(l) BETWEEN 4 AND 100)"
+    return f"list_filter({lines}, lambda l: length(l) BETWEEN 1 AND 120 AND (regexp_matches(l, {quote(X.HEADING)}) OR {upper}))[1]"
+
+
 def cosine(a: str, b: str) -> str:
     return f"list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
 

@@ -108,6 +108,13 @@ def test_boilerplate(spark):
     assert all(r.text.startswith("metin") for r in chunking.strip_boilerplate(pages, bp).collect())
 
 
+def test_strip_boilerplate_counts_empty_last_lines(spark):
+    """Only the last line end is no line of its own: the line here is the fourth from the end, so it stays."""
+    pages = spark.createDataFrame([("d", 1, "a\nb\nc\nd\nfoot line\nx\n\n\n")], "doc string, page int, text string")
+    found = spark.createDataFrame([("d", "foot line")], "doc string, line string")
+    assert chunking.strip_boilerplate(pages, found).first().text == "a\nb\nc\nd\nfoot line\nx"
+
+
 def test_page_rows(spark):
     text = "Bu sayfada aşağıdaki hakediş tablosu yer almaktadır ve okunmalıdır.\nDönem | Tutar\nOcak 2024 1.490,00\nŞubat 2024 1.500,00\nMart 2024 1.510,00"
     rows = chunking.page_rows(spark.createDataFrame([("d", 1, text), ("d", 2, "tek satır")], "doc string, page int, text string")).orderBy("ord").collect()
