@@ -112,10 +112,10 @@ def strip_boilerplate(pages: DataFrame, found: DataFrame, ends: int = 3) -> Data
     return p.withColumn("text", F.when(F.col("_bp").isNull(), F.col("text")).otherwise(kept)).drop("_bp", "_l")
 
 
-def with_sections(blocks: DataFrame, doc: str = "rel_path", order: str = "ord") -> DataFrame:
-    """blocks with section: the last heading at or before each block of its document."""
-    w = Window.partitionBy(doc).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return blocks.withColumn("section", F.coalesce(F.last(T.detect_heading("text"), ignorenulls=True).over(w), F.lit("")))
+def with_sections(blocks: DataFrame, doc: str = "rel_path", order: str = "ord", heading=T.detect_heading) -> DataFrame:
+    """blocks with section: the last heading at or before each block of its document; blocks without an order come last."""
+    w = Window.partitionBy(doc).orderBy(F.col(order).asc_nulls_last()).rowsBetween(Window.unboundedPreceding, 0)
+    return blocks.withColumn("section", F.coalesce(F.last(heading("text"), ignorenulls=True).over(w), F.lit("")))
 
 
 def chunks(blocks: DataFrame, splitter=None, least: int = X.MIN_CHUNK, articles: bool = True) -> DataFrame:

@@ -292,3 +292,19 @@ def test_cells():
     got = [src.format_cell(*x, e) for x in [("45291", None, True), ("45291.75", "n", True), ("1", "n", True), ("61", None, True), ("45291", None, False), ("1490.5", "n", False), ("1", "b", False), ("2024-02-29T00:00:00Z", "d", False), ("", None, True)]]
     assert got == ["31.12.2023", "31.12.2023", "01.01.1900", "01.03.1900", "45291", "1490,5", "True", "29.02.2024", ""]
     assert src.format_cell("0", None, True, datetime(1904, 1, 1)) == "01.01.1904"
+
+
+def test_heading_forward_fill_equals_its_sql(spark, tmp_path):
+    """Numbered headings are none for this query; white space, case and missing values as in DuckDB."""
+    import duckdb
+
+    from quernel import catalogue
+
+    texts = ["GENEL HÜKÜMLER\nx", "3.1 Kapsam ve Tanımlar\nx", "MADDE 9\nx", "Madde 9 x\nBÖLÜM II", "\u00a0ABCD\u00a0", "ABC\u00a0", "\x0bABC", "ABCD \u0085", " \t\fABCD\r\nx", "ABC", "ABC ﬁ", "STRAßE", "ŉ ABC", "1234", "a\nb\nc\nLATE", "", None, "Ω" * 100, "Ω" * 101, "İSTANBUL", "ΑΣ ᾼΣ", None]
+    rows = [(i if i % 7 else None if i == 7 else i, t, s) for s in ("a", None) for i, t in enumerate(texts)] + [(i, t, str(i)) for i, t in enumerate(texts)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    got = catalogue.queries()["heading_forward_fill"](spark, str(tmp_path))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    key = lambda r: tuple(map(repr, r))
+    assert sorted(map(tuple, got.collect()), key=key) == sorted(db.execute(catalogue.oracle_sql()["heading_forward_fill"]).fetchall(), key=key)
