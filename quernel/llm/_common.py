@@ -244,3 +244,29 @@ def held(field: np.ndarray, v: np.ndarray, bits: int) -> np.ndarray:
     for at in _places(v, bits):
         ok &= (field[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 > 0
     return ok
+
+
+def may_hold(ids: DataFrame, n: int):
+    """A function of a long column: whether ids, a written table of n rows of one long column, may hold it; no false no."""
+    bits = field_bits(n)
+    field = ids.sparkSession.sparkContext.broadcast(bit_field(ids, ids.columns, bits))
+
+    @F.arrow_udf("boolean")
+    def test(v: pa.Array) -> pa.Array:
+        return pa.array(held(field.value, joint(v.fill_null(0).to_numpy(zero_copy_only=False)), bits))
+
+    return test
+
+
+def without(rows: DataFrame, id: str, gone: DataFrame, kept: DataFrame) -> DataFrame:
+    """rows whose `id` (long) is not in gone; gone and kept, tables of one long column each, hold all ids of rows together.
+
+    A row whose id can't be gone stays and one whose id can't be kept goes, by two bit fields, so rows stay where they
+    are. Only the few that may be either are shuffled, to an exact join. A null id stays.
+    """
+    (gone, n), (kept, m) = (measured(ids.distinct(), "ids") for ids in (gone, kept))
+    may_go, may_stay = may_hold(gone, n["n"]), may_hold(kept, m["n"])
+    drop(kept)
+    unsure = gone.select(F.col(gone.columns[0]).alias(id)).where(may_stay(id))
+    sure = rows.where(F.col(id).isNull() | ~may_go(id))
+    return sure.unionByName(rows.where(F.col(id).isNotNull() & may_go(id) & may_stay(id)).join(unsure, id, "left_anti").select(*rows.columns))

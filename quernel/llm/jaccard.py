@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import arrow_map, bit_field, components, drop, field_bits, groups, held, joint, lookup, materialise, measured, mix64 as _mix
+from ._common import arrow_map, bit_field, components, drop, field_bits, groups, held, joint, lookup, materialise, measured, mix64 as _mix, without
 
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
@@ -364,7 +364,9 @@ def _candidates(left: DataFrame, routed: DataFrame, percent: int, block: int, be
 
 def keep_one(docs: DataFrame, percent: int = 80, ngram: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one document of each class, that of the least id (each row of it where the id repeats); rows without an id stay."""
-    out = cluster(docs, percent, ngram, doc_id=doc_id, text=text).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct()
-    kept = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-    rows = docs.select(F.col(doc_id).cast("long").alias("gone"), kept)
-    return rows.join(out, "gone", "left_anti").select("row.*")
+    classes = cluster(docs, percent, ngram, doc_id=doc_id, text=text)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    rows = docs.select(F.col(doc_id).cast("long").alias("id"), row)
+    out = without(rows, "id", classes.where("doc_id <> component_id").select("doc_id"), classes.where("doc_id = component_id").select("doc_id"))
+    drop(classes)
+    return out.select("row.*")

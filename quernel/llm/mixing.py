@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import drop, free_name, lookup, materialise, mix64
+from ._common import drop, free_name, lookup, materialise, may_hold, measured, mix64
 
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -165,9 +165,11 @@ def with_copies(docs: DataFrame, mixed: DataFrame, doc_id: str = "doc_id") -> Da
     """The rows of docs that mixed takes, with their number of copies in a last column `copies` (or the first of copies_1,
     copies_2, ... that docs hasn't).
 
-    An id names one document; each row that repeats it, null ids among them, carries the copies of all its rows.
+    An id names one document; each row that repeats it, null ids among them, carries the copies of all its rows. Of the
+    rows that the mix doesn't take, few are shuffled: a bit field of the ids taken drops the others where they are.
     """
     key = lambda c: F.coalesce(F.col(c).cast("long").cast("string"), F.lit("null")).alias("key")
-    n = materialise(mixed.groupBy(key("doc_id")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0"), "copies")
-    rows = docs.select(key(doc_id), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
-    return lookup(rows, n, "key", "rows").select("row.*", F.col("copies").alias(free_name(docs, "copies")))
+    n, seen = measured(mixed.groupBy(key("doc_id"), F.col("doc_id").alias("id")).agg(F.sum("copies").alias("copies"), F.count("*").alias("rows")).where("copies > 0"), "copies")
+    taken, id = may_hold(n.select("id").where("id is not null"), seen["n"]), F.col(doc_id).cast("long")
+    rows = docs.where(id.isNull() | taken(id)).select(key(doc_id), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return lookup(rows, n.drop("id"), "key", "rows").select("row.*", F.col("copies").alias(free_name(docs, "copies")))

@@ -52,3 +52,16 @@ def test_lookup_of_hot_keys(spark, monkeypatch):
     got = C.lookup(rows, table, "k", "w", "left")
     assert got.count() == 20_000 and got.where("w is not null").count() == rows.where("k < 15000").count() and got.where("k = 7").select("w").distinct().count() == 1
     assert C.lookup(rows, table, "k", "w").count() == rows.where("k < 15000").count()
+
+
+def test_without_is_exact_where_fields_are_full(spark, monkeypatch):
+    """Fields of 64 bits are full, so every row is looked up; ids both gone and kept go, null ids stay."""
+    rows = spark.createDataFrame([(i if i < 3000 else None, f"t{i}") for i in range(3010)] + [(7, "again"), (8, "again")], "id long, t string")
+    gone = spark.createDataFrame([(i,) for i in range(0, 3000, 7)] * 2 + [(8,)], "x long")
+    kept = spark.createDataFrame([(i,) for i in range(3000) if i % 7] + [(14,)], "y long")
+    want = sorted(r.t for r in rows.collect() if r.id is None or (r.id % 7 and r.id != 8))
+    for bits in (None, 6):
+        if bits:
+            monkeypatch.setattr(C, "field_bits", lambda n: bits)
+        out = C.without(rows, "id", gone, kept)
+        assert out.columns == rows.columns and sorted(r.t for r in out.collect()) == want

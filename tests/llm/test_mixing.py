@@ -84,3 +84,14 @@ def test_with_copies_keeps_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b", "s", 5, 6), (2, "a", "s", 7, 8), (None, "c", "t", 9, 1)], "doc_id long, text string, source string, copies int, key int")
     out = mixing.with_copies(docs, mixing.mix(docs.select("doc_id", "text", "source")))
     assert out.columns == [*docs.columns, "copies_1"] and all(r.copies_1 > 0 for r in out.collect())
+
+
+def test_with_copies_drops_rows_not_taken_before_the_join(spark):
+    """The join gets the rows that the mix takes, and null ids, but not the others."""
+    docs = spark.createDataFrame([(i, "one two", "a") for i in range(400)] + [(None, "one", "a")] * 3, "doc_id long, text string, source string")
+    mixed = spark.createDataFrame([(i, int(i % 4 == 0) * 2) for i in range(400)] + [(None, 1), (None, 0), (None, 1)], "doc_id long, copies long")
+    out = mixing.with_copies(docs, mixed)
+    got = [(r.doc_id, r.copies) for r in out.collect()]
+    assert sorted(got, key=str) == sorted([(i, 2) for i in range(0, 400, 4)] + [(None, 2)] * 3, key=str)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "test(" in plan and "Join" in plan and plan.index("Join") < plan.index("ArrowEvalPython")
